@@ -56,99 +56,77 @@ def caption_parsed(caption: Column) -> Column:
     )
 
 
-def float_text(value: Column) -> Column:
+def _float_text(v: str) -> str:
     """A double as Python prints it: exponent form only below 1e-4 or from 1e16,
     a trailing ``.0`` on whole numbers."""
-    size = F.abs(value)
-    java = value.cast("string")
-    mantissa = F.regexp_replace(F.regexp_extract(java, r"^(-?[0-9.]+)", 1), r"\.0$", "")
-    power = F.regexp_extract(java, r"E(-?\d+)$", 1).cast("int")
-    exponent = F.concat(
-        mantissa,
-        F.when(power < 0, "e-").otherwise("e+"),
-        F.format_string("%02d", F.abs(power)),
-    )
-    digits = F.when(size < 1, value.cast("decimal(38,22)").cast("string")).otherwise(
-        value.cast("decimal(38,18)").cast("string")
-    )
-    plain = F.regexp_replace(F.regexp_replace(digits, r"0+$", ""), r"\.$", ".0")
-    return (
-        F.when(size == 0, java)
-        .when((size < 1e-4) | (size >= 1e16), exponent)
-        .when((size < 1e-3) | (size >= 1e7), plain)
-        .otherwise(java)
-    )
-
-
-def scalar_text(value: Column) -> Column:
-    """A JSON scalar as Python's ``str`` gives it; null for null, lists, objects."""
-    kind = F.schema_of_variant(value)
-    text = F.try_variant_get(value, "$", "string")
-    whole = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
-    return (
-        F.when(kind == "STRING", text)
-        .when(kind == "BOOLEAN", F.initcap(text))
-        .when(whole, text)
-        .when(
-            (kind == "DOUBLE") | kind.startswith("DECIMAL"),
-            float_text(F.try_variant_get(value, "$", "double")),
-        )
-    )
-
-
-def _list_parts(value: Column, strict: bool) -> Column:
+    digits = f"""CASE WHEN abs({v}) < 1 THEN string(CAST({v} AS DECIMAL(38,22)))
+                      ELSE string(CAST({v} AS DECIMAL(38,18))) END"""
+    return rf"""CASE
+        WHEN {v} = 0 THEN string({v})
+        WHEN abs({v}) < 1e-4D OR abs({v}) >= 1e16D THEN concat(
+            regexp_replace(substring_index(string({v}), 'E', 1), r'\.0$', ''),
+            CASE WHEN abs({v}) < 1 THEN 'e-' ELSE 'e+' END,
+            format_string('%02d', abs(int(substring_index(string({v}), 'E', -1)))))
+        WHEN abs({v}) < 1e-3D OR abs({v}) >= 1e7D
+            THEN regexp_replace(regexp_replace({digits}, r'0+$', ''), r'\.$', '.0')
+        ELSE string({v}) END"""
+
+
+def _typed(value: str) -> str:
+    """Fields ``kind``, ``said`` and ``number`` of a JSON value, each read once."""
+    return f"""schema_of_variant({value}) AS kind,
+        try_variant_get({value}, '$', 'string') AS said,
+        CASE WHEN schema_of_variant({value}) RLIKE '^D|^BIGINT$'
+             THEN try_variant_get({value}, '$', 'double') END AS number"""
+
+
+def _scalar_text(v: str) -> str:
+    """A typed JSON scalar as Python's ``str`` gives it; null for null, lists and
+    objects. Decimals of 19 digits and more without fraction are long integers."""
+    return rf"""CASE
+        WHEN {v}.kind IN ('STRING', 'BIGINT') THEN {v}.said
+        WHEN {v}.kind = 'BOOLEAN' THEN initcap({v}.said)
+        WHEN {v}.kind RLIKE r'^DECIMAL\((19|[23]\d),0\)$' THEN {v}.said
+        WHEN {v}.number IS NOT NULL THEN {_float_text(v + ".number")} END"""
+
+
+def _list_parts(value: str, strict: bool) -> str:
     """Parts of a JSON list. Strict recipes touch ``type`` and ``text`` of each
     part, so a part that lacks them spoils the message; lenient ones skip it."""
-    raw = F.try_variant_get(value, "$", _RAW_PARTS)
-    is_text = lambda p: p["type"] == "text"
-
-    def clean(p: Column) -> Column:
-        text = scalar_text(p["text"])
-        if strict:
-            text = F.when(F.schema_of_variant(p["text"]) == "STRING", strip(text)).otherwise(text)
-        else:
-            text = (
-                F.when(p["text"].isNull(), "")
-                .when(F.schema_of_variant(p["text"]) == "VOID", "None")
-                .otherwise(text)
-            )
-        return F.struct(
-            p["type"].alias("type"), F.when(is_text(p), text).alias("text")
-        ).cast(PART)
-
-    parts = F.transform(raw, clean)
     if strict:
-        broken = F.exists(raw, lambda p: p.isNull() | p["type"].isNull())
-        parts = F.when(~broken, parts)
+        blanks = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
+        text = f"CASE WHEN p.kind = 'STRING' THEN trim(BOTH '{blanks}' FROM p.said) ELSE {_scalar_text('p')} END"
+    else:
+        # No text at all prints as nothing, a null text as Python's None.
+        text = f"""CASE WHEN p.kind IS NULL THEN '' WHEN p.kind = 'VOID' THEN 'None'
+                        ELSE {_scalar_text('p')} END"""
     # A text part left without text held a list, an object or nothing usable.
-    hollow = F.exists(parts, lambda p: F.coalesce(is_text(p), F.lit(False)) & p["text"].isNull())
-    return F.when(~hollow, parts)
-
-
-def parse_messages(messages: Column, numeric_to_text: bool = True, strip_parts: bool = False) -> Column:
-    """``array<struct<role, content>>`` to ``array<struct<role, parts>>``."""
-    opened = F.transform(
-        messages,
-        lambda m: F.struct(
-            m["role"].alias("role"),
-            F.substring(F.ltrim(m["content"], F.lit(" \t\n\r")), 1, 1).alias("lead"),
-            F.try_parse_json(m["content"]).alias("value"),
-        ),
-    )
-
-    def parts(m: Column) -> Column:
-        lead, value = m["lead"], m["value"]
-        found = (
-            F.when(lead == "[", _list_parts(value, strip_parts))
-            .when(lead == '"', F.array(part("text", scalar_text(value))))
-            .when(lead == "{", F.array().cast(f"array<{PART}>"))
-        )
-        if numeric_to_text:
-            found = found.when(lead != "n", F.array(part("text", scalar_text(value))))
-        return F.when(value.isNotNull(), found)
-
-    return F.transform(
-        opened, lambda m: F.struct(m["role"].alias("role"), parts(m).alias("parts"))
+    hollow = "(p.type = 'text' AND p.text IS NULL)"
+    spoilt = f"p.type IS NULL OR {hollow}" if strict else f"coalesce({hollow}, false)"
+    parts = f"""transform(
+        transform(try_variant_get({value}, '$', '{_RAW_PARTS}'),
+                  p -> struct(p.type AS type, {_typed("p.text")})),
+        p -> struct(p.type AS type, CASE WHEN p.type = 'text' THEN {text} END AS text))"""
+    return f"""transform(array({parts}), ps -> CASE WHEN NOT exists(ps, p -> {spoilt}) THEN ps END)[0]"""
+
+
+def parse_messages(messages: str, numeric_to_text: bool = True, strip_parts: bool = False) -> Column:
+    """``array<struct<role, content>>``, given as SQL, to ``array<struct<role, parts>>``."""
+    scalar_leads = ['"', *"tf-0123456789"] if numeric_to_text else ['"']
+    leads = ", ".join(f"'{c}'" for c in scalar_leads)
+    return F.expr(
+        rf"""transform(
+            transform({messages}, m -> struct(
+                m.role AS role,
+                substring(ltrim(' \t\n\r', m.content), 1, 1) AS lead,
+                try_parse_json(m.content) AS value)),
+            m -> struct(m.role AS role, CASE
+                WHEN m.value IS NULL THEN NULL
+                WHEN m.lead = '[' THEN {_list_parts("m.value", strip_parts)}
+                WHEN m.lead IN ({leads}) THEN transform(
+                    array(struct({_typed("m.value")})),
+                    v -> struct('text' AS type, {_scalar_text("v")} AS text))
+                WHEN m.lead = '{{' THEN CAST(array() AS array<{PART}>) END AS parts))"""
     )
 
 

@@ -21,8 +21,10 @@ def spaced(text: Column, tokens: ChatTokens) -> Column:
 
 def words(text: Column) -> Column:
     """White-space separated words; an empty array for blank text."""
-    blanks = F.translate(text, _SPACES[1:], " " * (len(_SPACES) - 1))
-    return F.array_remove(F.split(blanks, " "), "")
+    trimmed = F.trim(text, F.lit(_SPACES))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
+        F.split(trimmed, r"\s+")
+    )
 
 
 def tokenise(text: Column, tokens: ChatTokens) -> Column:

@@ -106,7 +106,7 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, label: str) -> D
     Rows are range-partitioned and sorted, then written once: the bounds of a
     range exchange are sampled, so both readers must see one run of it. Positions
     follow from the row's place in its partition and the sizes of the partitions
-    before it; there are as many sizes as shuffle partitions.
+    before it; those sizes are fetched, as many as there are shuffle partitions.
     """
     placed = scratch(
         df.repartitionByRange(*order)
@@ -115,15 +115,12 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, label: str) -> D
         label,
     )
     # Spark keeps the partition number in the upper bits, the row in the lower 33.
-    placed = placed.withColumn("__part", F.shiftright("__place", 33))
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__here"))
-    earlier = W.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "__part", F.coalesce(F.sum("__here").over(earlier), F.lit(0)).alias("__before")
-    )
-    at = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before")
-    return (
-        placed.join(F.broadcast(offsets), "__part")
-        .withColumn(name, at)
-        .drop("__part", "__place", "__before")
-    )
+    part = F.shiftright("__place", 33).cast("int")
+    sizes = dict(placed.groupBy(part.alias("part")).agg(F.count("*")).collect())
+    before, starts = 0, []
+    for p in range(max(sizes, default=-1) + 1):
+        starts.append(before)
+        before += sizes.get(p, 0)
+    offsets = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
+    row = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn(name, row + F.get(offsets, part)).drop("__place")

@@ -22,7 +22,7 @@ def parse_content(
 ) -> DataFrame:
     """Adds ``parsed``; the caller keeps or drops ``messages``."""
     return df.withColumn(
-        "parsed", content.parse_messages(F.col(messages), numeric_to_text, strip_parts)
+        "parsed", content.parse_messages(messages, numeric_to_text, strip_parts)
     )
 
 
@@ -43,9 +43,9 @@ def render_turns(turns: DataFrame, tokens: ChatTokens, numeric_to_text: bool = T
     """Turn rows ``(.., role, content)`` with the rendered ``piece``, its token
     count and its placeholder count. All three add up over a conversation, because
     a piece starts and ends with a special token."""
-    one = F.array(F.struct("role", "content"))
+    one = content.parse_messages("array(struct(role, content))", numeric_to_text, strip_parts)
     return (
-        turns.withColumn("__m", content.parse_messages(one, numeric_to_text, strip_parts)[0])
+        turns.withColumn("__m", one[0])
         .withColumn("piece", template.turn(F.col("__m.role"), F.col("__m.parts"), tokens))
         .withColumn("piece", F.when(F.col("__m.parts").isNotNull(), F.col("piece")))
         .withColumn("n_tokens", F.size(tok.words(tok.spaced(F.col("piece"), tokens))))

@@ -15,6 +15,12 @@ from chatprep.settings import UNKNOWN
 BROADCAST_TOKENS = 1_000_000
 
 
+def _spread(df: DataFrame, tokens: str, *keys: str) -> DataFrame:
+    """One row per token. The outer form keeps Spark from deriving a filter on the
+    token array, which would compute the array once more for the filter alone."""
+    return df.select(*keys, F.posexplode_outer(tokens).alias("pos", "token"))
+
+
 def build_vocab(df: DataFrame, specials: Sequence[str], tokens: str = "tokens") -> DataFrame:
     """``(token, n, id)``: specials in their order, then tokens by count
     descending and text. Counting combines before it shuffles, so a token that
@@ -24,7 +30,8 @@ def build_vocab(df: DataFrame, specials: Sequence[str], tokens: str = "tokens")
     reserved = spark.createDataFrame([(s, 0) for s in specials], "token string, n bigint")
     place = F.array_position(F.array(*[F.lit(s) for s in specials]), F.col("token"))
     counts = (
-        df.select(F.explode(tokens).alias("token"))
+        _spread(df, tokens)
+        .filter(F.col("token").isNotNull())
         .groupBy("token")
         .agg(F.count("*").alias("n"))
         .unionByName(reserved)
@@ -46,17 +53,22 @@ def encode(df: DataFrame, vocab: DataFrame, key: str = "row_id", tokens: str = "
     vocabulary is larger than that, the few rare tokens left are looked up by a
     join on the token, which then has no hot key.
     """
+    last, unknown = vocab.agg(
+        F.max("id"), F.max(F.when(F.col("token") == UNKNOWN, F.col("id")))
+    ).first()
     common = vocab.filter(F.col("id") < BROADCAST_TOKENS).select("token", "id")
-    rare = vocab.filter(F.col("id") >= BROADCAST_TOKENS).select("token", "id")
-    unknown = vocab.filter(F.col("token") == UNKNOWN).first()["id"]
     rows = df.repartition(key)
-    spread = rows.select(key, F.posexplode(tokens).alias("pos", "token"))
+    spread = _spread(rows, tokens, key)
     found = spread.join(F.broadcast(common), "token", "left")
-    if not rare.isEmpty():
+    if last >= BROADCAST_TOKENS:
+        rare = vocab.filter(F.col("id") >= BROADCAST_TOKENS).select("token", "id")
         known = found.filter(F.col("id").isNotNull())
         sought = found.filter(F.col("id").isNull()).drop("id").join(rare, "token", "left")
         found = known.unionByName(sought)
-    numbered_ids = F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id"))
+    # A row without tokens came along with a null token and gets an empty list.
+    numbered_ids = F.when(
+        F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id"))
+    )
     ids = (
         found.groupBy(key)
         .agg(F.array_sort(F.collect_list(numbered_ids)).alias("__ids"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chatprep.functions.content import part
 from chatprep.functions.tokens import words
 from chatprep.operators.render import chat_from_turns
-from chatprep.sources.collection import Source
+from chatprep.sources.collection import Source, spread
 
 # Some limits below, some above the rows of a source, at every scale factor.
 LIMITS = {
@@ -20,8 +20,13 @@ LIMITS = {
 SPLITS = {"train": ["train"], "valid": ["validation", "train"], "test": ["test"]}
 
 
+# Columns by which the rows of a small table are dealt out to tasks.
+_DEAL_BY = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    return spread(spark.read.parquet(path), path, *_DEAL_BY[name])
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:

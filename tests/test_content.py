@@ -107,9 +107,7 @@ def test_unknown_role_and_odd_parts(spark):
 def test_caption_shortcut_equals_json_way(spark):
     df = spark.createDataFrame([(" a\n",), ('q"é',), ("",), (None,)], "caption string")
     short = df.select(content.caption_parsed(F.col("caption")).alias("p"))
-    long = df.select(
-        content.parse_messages(content.caption_messages(F.col("caption")), strip_parts=True).alias("p")
-    )
+    long = render.caption_to_chat(df).select(content.parse_messages("messages", strip_parts=True).alias("p"))
     assert short.collect() == long.collect()
 
 
