@@ -52,24 +52,26 @@ def contains_template(ids: Column, template: list[Column]) -> Column:
     return F.exists(position_ids(ids), lambda at: _hit(ids, at, template))
 
 
-def response_spans(ids: Column, response: list[Column], instruction: list[Column] | None) -> Column:
-    """Zero-based half-open ranges of ids that belong to a response."""
-    size = F.size(ids)
-    begins = F.transform(template_starts(ids, response), lambda s: s + len(response))
-    if not instruction:
-        last = F.slice(begins, -1, 1)
-        return F.transform(last, lambda b: F.struct(b.alias("start"), size.alias("end")))
-    asks = template_starts(ids, instruction)
-
-    def span(begin: Column, nth: Column) -> Column:
+def response_spans(size: Column, answers: Column, width: int, asks: Column | None) -> Column:
+    """Zero-based half-open ranges of ids that belong to a response. ``answers``
+    and ``asks`` hold the start positions of the response and instruction
+    templates; without an instruction template only the last response counts."""
+    if asks is None:
+        return F.transform(
+            F.slice(answers, -1, 1),
+            lambda a: F.struct((a + width).alias("start"), size.alias("end")),
+        )
+
+    def span(answer: Column, nth: Column) -> Column:
+        begin = answer + width
         ask = F.array_min(F.filter(asks, lambda a: a >= begin))
         # A second response template before the next instruction stays inside
         # the first one's span, so cut there to keep the spans disjoint.
-        following = F.get(begins, nth + 1)
+        following = F.get(answers, nth + 1) + width
         end = F.least(F.coalesce(ask, size), F.coalesce(following, size))
         return F.struct(begin.alias("start"), end.alias("end"))
 
-    return F.transform(begins, span)
+    return F.transform(answers, span)
 
 
 def response_labels(ids: Column, spans: Column) -> Column:

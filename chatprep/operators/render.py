@@ -39,7 +39,9 @@ def render_chat(
     )
 
 
-def render_turns(turns: DataFrame, tokens: ChatTokens, numeric_to_text: bool = True, strip_parts: bool = False) -> DataFrame:
+def render_turns(
+    turns: DataFrame, tokens: ChatTokens, numeric_to_text: bool = True, strip_parts: bool = False
+) -> DataFrame:
     """Turn rows ``(.., role, content)`` with the rendered ``piece``, its token
     count and its placeholder count. All three add up over a conversation, because
     a piece starts and ends with a special token."""
@@ -76,7 +78,14 @@ def conversation_sizes(pieces: DataFrame, key: str = "conv_id") -> DataFrame:
     )
 
 
-def assemble(pieces: DataFrame, wanted: DataFrame, tokens: ChatTokens, oversize: DataFrame, key: str = "conv_id", heaviest: int = 1000) -> DataFrame:
+def assemble(
+    pieces: DataFrame,
+    wanted: DataFrame,
+    oversize: DataFrame,
+    tokens: ChatTokens,
+    key: str = "conv_id",
+    heaviest: int = 1000,
+) -> DataFrame:
     """Rendered text of the ``wanted`` conversations.
 
     The ``heaviest`` unwanted ones are dropped before any row moves; they are a
@@ -87,19 +96,14 @@ def assemble(pieces: DataFrame, wanted: DataFrame, tokens: ChatTokens, oversize:
     heavy = oversize.orderBy(F.col("length").desc(), key).limit(heaviest).select(key)
     light = pieces.join(F.broadcast(heavy), key, "left_anti")
     ordered = F.array_sort(F.collect_list(F.struct("turn", "piece")))
+    said = F.array_join(F.transform("__pieces", lambda p: p["piece"]), "")
+    carried = [c for c in wanted.columns if c != key]
     return (
         light.select(key, "turn", "piece")
         .join(wanted, key)
-        .groupBy(key, *[c for c in wanted.columns if c != key])
-        .agg(ordered.alias("__pieces"))
-        .withColumn(
-            "text",
-            F.concat(
-                F.array_join(F.transform("__pieces", lambda p: p["piece"]), ""),
-                F.lit(template.closing(tokens)),
-            ),
-        )
-        .drop("__pieces")
+        .groupBy(key)
+        .agg(ordered.alias("__pieces"), *[F.any_value(c).alias(c) for c in carried])
+        .select(key, *carried, F.concat(said, F.lit(template.closing(tokens))).alias("text"))
     )
 
 

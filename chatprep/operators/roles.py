@@ -22,13 +22,14 @@ def settings_table(spark: SparkSession, limits: Mapping[str, Mapping[str, int]])
     return spark.createDataFrame(rows, "source string, split string, max_rows bigint")
 
 
-def truncate(df: DataFrame, limits: Mapping[str, Mapping[str, int]], seed: int) -> DataFrame:
-    """A random sample of ``max_rows`` rows for each (source, split) that has a
-    limit and more rows than that; everything else is kept whole.
+def drawn(df: DataFrame, limits: Mapping[str, Mapping[str, int]], seed: int) -> DataFrame:
+    """Adds ``drawn``: true for a random sample of ``max_rows`` rows of each
+    (source, split) that has a limit and more rows than that, and for every row of
+    the others.
 
     The last row to keep is found from narrow columns: bucket sizes tell in which
     1/4096th of the shuffled order the cut falls, and only that piece is ranked.
-    The rows themselves are then filtered against one cut per limit, in place,
+    The rows themselves are then compared with one cut per limit, in place,
     without a shuffle.
     """
     settings = settings_table(df.sparkSession, limits)
@@ -59,7 +60,13 @@ def truncate(df: DataFrame, limits: Mapping[str, Mapping[str, int]], seed: int)
             | (key == F.col("__key")) & (F.col("row_id") <= F.col("__last"))
         )
     )
-    return df.join(F.broadcast(bounds), PLACE, "left").filter(keep).drop("max_rows", "__key", "__last")
+    marked = df.join(F.broadcast(bounds), PLACE, "left").withColumn("drawn", keep)
+    return marked.drop("max_rows", "__key", "__last")
+
+
+def truncate(df: DataFrame, limits: Mapping[str, Mapping[str, int]], seed: int) -> DataFrame:
+    """The rows that ``drawn`` marks."""
+    return drawn(df, limits, seed).filter("drawn").drop("drawn") if limits else df
 
 
 def truncate_warnings(df: DataFrame, limits: Mapping[str, Mapping[str, int]]) -> DataFrame:
@@ -121,8 +128,11 @@ def top_lengths(
 def size_report(
     before: DataFrame, max_length: int, train_splits: Sequence[str], limits: Mapping[str, Mapping[str, int]], seed: int
 ) -> DataFrame:
-    """Rows per (source, split) as read and after truncation and filter."""
-    sizes = before.groupBy(*PLACE).agg(F.count("*").alias("n_before"))
-    after = length_filter(truncate(before, limits, seed), max_length, train_splits)
-    left = after.groupBy(*PLACE).agg(F.count("*").alias("n_after"))
-    return sizes.join(left, PLACE, "left").fillna(0, ["n_after"])
+    """Rows per (source, split) as read and after truncation and filter, counted
+    in one pass over the rows."""
+    left = F.col("drawn") & (~_filtered(train_splits, True) | within(max_length))
+    return (
+        drawn(before, limits, seed)
+        .groupBy(*PLACE)
+        .agg(F.count("*").alias("n_before"), F.count_if(left).alias("n_after"))
+    )

@@ -29,12 +29,9 @@ def build_vocab(df: DataFrame, specials: Sequence[str], tokens: str = "tokens")
     # Unseen specials need an id too, so each is present at least with count 0.
     reserved = spark.createDataFrame([(s, 0) for s in specials], "token string, n bigint")
     place = F.array_position(F.array(*[F.lit(s) for s in specials]), F.col("token"))
+    seen = _spread(df, tokens).filter(F.col("token").isNotNull()).select("token", F.lit(1).cast("long").alias("n"))
     counts = (
-        _spread(df, tokens)
-        .filter(F.col("token").isNotNull())
-        .groupBy("token")
-        .agg(F.count("*").alias("n"))
-        .unionByName(reserved)
+        seen.unionByName(reserved)
         .groupBy("token")
         .agg(F.sum("n").alias("n"))
         .withColumn("__last", F.when(place > 0, place).otherwise(len(specials) + 1))
@@ -103,13 +100,19 @@ def check(
 
 
 def add_labels(df: DataFrame, response: Sequence, instruction: Sequence | None, ids: str = "input_ids") -> DataFrame:
-    """Adds ``labels``: ids in responses, the ignore label elsewhere."""
-    lits = lambda xs: [F.lit(x) for x in xs]
-    spans = tok.response_spans(F.col(ids), lits(response), lits(instruction) if instruction else None)
+    """Adds ``labels``: ids in responses, the ignore label elsewhere. Template
+    positions become columns first, so each row is searched once per template and
+    not once more for every response in it."""
+    found = df.withColumn("__answers", tok.template_starts(F.col(ids), [F.lit(x) for x in response]))
+    if instruction:
+        found = found.withColumn("__asks", tok.template_starts(F.col(ids), [F.lit(x) for x in instruction]))
+    spans = tok.response_spans(
+        F.size(ids), F.col("__answers"), len(response), F.col("__asks") if instruction else None
+    )
     return (
-        df.withColumn("__spans", spans)
+        found.withColumn("__spans", spans)
         .withColumn("labels", tok.response_labels(F.col(ids), F.col("__spans")))
-        .drop("__spans")
+        .drop("__answers", "__asks", "__spans")
     )
 
 

@@ -345,6 +345,19 @@ SELECT role, source, split, row_id, length FROM routed""",
   UNION ALL SELECT 1, 'chats', 'train', row_id, length, n_images FROM judged WHERE reason IS NULL),
 {_ROUTED}
 SELECT role, source_ord, source, split, row_id, length, n_images FROM routed""",
+    "prepared_roles": f"""WITH rendered AS (
+  SELECT doc_id AS row_id, source,
+    CASE doc_id % 10 WHEN 8 THEN 'validation' WHEN 9 THEN 'test' ELSE 'train' END AS split,
+    {_piece("'user'", f"'{_T.image}'", "''")} || {_piece("'assistant'", "''", "text")} || '{_T.eos}' AS text
+  FROM documents),
+limits(source, split, max_rows) AS (VALUES {_LIMIT_ROWS}),
+ordered AS (
+  SELECT row_id, source, split, max_rows, {_length('text')} AS length, row_number() OVER (
+    PARTITION BY source, split ORDER BY md5('{S.SEED}:' || row_id), row_id) AS nth
+  FROM rendered LEFT JOIN limits USING (source, split)),
+pool AS (SELECT * FROM ordered WHERE max_rows IS NULL OR nth <= max_rows),
+{_ROUTED}
+SELECT role, source, split, row_id, length, length AS n_tokens FROM routed""",
     "top_lengths": f"""WITH {_LENGTHS}, longest AS (
   SELECT source, split, row_id, length, row_number() OVER (
     PARTITION BY source, split ORDER BY length DESC, row_id)::INTEGER AS rank
@@ -413,6 +426,8 @@ FROM judged WHERE reason IS NULL AND length <= {S.MAX_LENGTH}""",
     "pack_epoch": f"""WITH {_TRAINABLE}
 SELECT true AS rows_moved, 0::BIGINT AS not_twice, 0::BIGINT AS bad_epochs, 2 * sum(length)::BIGINT AS n_tokens
 FROM trainable""",
+    "pack_batches": f"""WITH {_ENCODED}
+SELECT count(*) AS n_ids, true AS batches_numbered, 0::BIGINT AS over_budget FROM encoded""",
     "packed_conversations": f"""WITH {_ENCODED}
 SELECT (SELECT count(*) FROM kept) AS n_sequences, count(*) AS n_tokens, 0::BIGINT AS wrong_size,
   0::BIGINT AS over_budget, count(*) FILTER (label <> {S.IGNORE_LABEL}) AS n_labels,

@@ -18,15 +18,16 @@ def fitting_conversations(
 ) -> DataFrame:
     """``(row_id, image_refs, tokens, length)`` of the conversations that pass the
     guards and fit. Guards and length come from sums over turns, so only what is
-    kept gets put together."""
+    kept gets put together. The sums are stored: they are narrow, and what is
+    wanted and what is too heavy are both read from them."""
     pieces = render.render_turns(turns, tokens)
-    sizes = render.conversation_sizes(pieces, key).withColumn("image_refs", image_refs)
+    sizes = scratch(render.conversation_sizes(pieces, key), "sizes").withColumn("image_refs", image_refs)
     reason = guards.reason(
         ~F.col("bad"), F.col("n_placeholders"), F.when(F.col("image_refs").isNotNull(), F.size("image_refs"))
     )
     wanted = sizes.filter(reason.isNull() & within(max_length)).select(key, "length", "image_refs")
     oversize = sizes.filter(~within(max_length)).select(key, "length")
-    rows = render.assemble(pieces, wanted, tokens, oversize, key)
+    rows = render.assemble(pieces, wanted, oversize, tokens, key)
     return render.rendered_length(rows, tokens).select(
         F.col(key).alias("row_id"), "image_refs", "tokens", "length"
     )

@@ -15,6 +15,7 @@ from chatprep import settings as S
 from chatprep.functions import content, images, tokens as tok
 from chatprep.operators import batches, guards, ordering, packing, profile, render, roles, vocab
 from chatprep.plans import packed, recipes
+from chatprep.plans.prepare import prepare
 from chatprep.sources import collection, fixtures
 from chatprep.sources.fixtures import LIMITS, SPLITS
 from chatprep.sources.stages import scratch
@@ -396,6 +397,16 @@ def size_report(spark, folder):
     )
 
 
+@query
+def prepared_roles(spark, folder):
+    """Captions through all preprocessing steps to their roles."""
+    routed, _ = prepare(
+        fixtures.captions(spark, folder), "caption", S.TOKENS,
+        splits=SPLITS, max_length=S.MAX_LENGTH, limits=LIMITS, seed=S.SEED,
+    )
+    return routed.select("role", "source", "split", "row_id", "length", F.size("tokens").alias("n_tokens"))
+
+
 # Profiles
 
 
@@ -676,6 +687,18 @@ def pack_epoch(spark, folder):
     return _beside(moved, even)
 
 
+@query
+def pack_batches(spark, folder):
+    """Packs of a batch as one longer sequence, in the epoch's order."""
+    packs = packing.pack_order(_chat_packs(spark, folder), S.SEED, S.EPOCH)
+    made = packing.batches_of_packs(packs, 4).select("batch_id", *packing.concatenated())
+    return made.agg(
+        F.sum(F.size("input_ids")).alias("n_ids"),
+        (F.max("batch_id") + 1 == F.count("*")).alias("batches_numbered"),
+        F.count_if(F.size("input_ids") > 4 * S.MAX_LENGTH).alias("over_budget"),
+    )
+
+
 @query
 def packed_conversations(spark, folder):
     """The whole way from turns to packs, counted."""

@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []
+
+
 def fingerprint(params: dict) -> str:
     """Every parameter counts, so two recipes never share a stage."""
     text = json.dumps(params, sort_keys=True, ensure_ascii=False, default=str)
@@ -52,4 +55,16 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     only the columns they need, and they all see the same rows."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the scratch tables this process wrote, once results are stored;
+    gives their number."""
+    conf = spark._jsc.hadoopConfiguration()
+    count = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chatprep.operators import guards, render
 from chatprep.plans import packed, recipes
+from chatprep.plans.prepare import prepare
 from chatprep.settings import TOKENS
 from chatprep.sources import collection, fixtures, stages
 from chatprep.operators import vocab
@@ -72,6 +73,27 @@ def test_unfinished_stage_is_written_again(spark, tmp_path):
     assert stages.stage(spark.range(5).toDF("x"), str(tmp_path), "map", params).count() == 5
 
 
+def test_prepare_reuses_both_stages(spark, small, tmp_path):
+    raw = fixtures.captions(spark, small)
+    run = lambda rows, n: prepare(
+        rows, "caption", TOKENS, splits=fixtures.SPLITS, max_length=n, cache_dir=str(tmp_path), inputs=[small]
+    )
+    first, rejected = run(raw, 500)
+    assert rejected.count() == 0 and 0 < first.count()
+    # Nothing of the raw rows is read again: an empty input gives the same rows.
+    again, _ = run(raw.limit(0), 500)
+    assert again.count() == first.count()
+    longer, _ = run(raw.limit(0), 5000)
+    assert longer.count() > first.count()
+    assert len([p for p in tmp_path.iterdir()]) == 3
+
+
+def test_scratch_is_released(spark):
+    made = stages.scratch(spark.range(3).toDF("x"), "kept")
+    assert made.count() == 3
+    assert stages.release(spark) >= 1 and stages.release(spark) == 0
+
+
 def test_stream_equals_batch(spark, small, tmp_path):
     rows = fixtures.chat(spark, small)
     source = f"{tmp_path}/in"
