@@ -81,7 +81,9 @@ def bucket_sizes(df: DataFrame, by: Sequence[str], order: Order, total: str | No
 
 
 def rank_in_bucket(df: DataFrame, by: Sequence[str], order: Order, name: str = "__nth") -> DataFrame:
-    placed = W.partitionBy(*by, BUCKET).orderBy(*order.keys)
+    # The bucket leads: it tells rows apart better than a common group value, and
+    # the sort compares its first column first.
+    placed = W.partitionBy(BUCKET, *by).orderBy(*order.keys)
     return df.withColumn(BUCKET, order.bucket).withColumn(name, F.row_number().over(placed))
 
 
@@ -94,7 +96,7 @@ def ranked(
     offsets = bucket_sizes(df, by, order, total).drop("__here")
     return (
         rank_in_bucket(df, by, order)
-        .join(offsets, [*by, BUCKET])
+        .join(offsets, [BUCKET, *by])
         .withColumn(rank, F.col("__nth") + F.col("__before"))
         .drop("__nth", "__before", BUCKET)
     )

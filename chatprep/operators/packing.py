@@ -192,9 +192,9 @@ def assign(df: DataFrame, plan: DataFrame, order: Order, by: Sequence[str] = ())
     seat = F.get("__slots", (turn % F.col("__times")).cast("int"))
     return (
         rank_in_bucket(df, key, order)
-        .join(ranges, [*key, BUCKET])
+        .join(ranges, [BUCKET, *key])
         .filter((place >= F.col("__base")) & (place < F.col("__top")))
-        .withColumn("pack_id", F.col("first_pack") + F.floor(turn / F.col("__times")))
+        .withColumn("pack_id", F.col("first_pack") + F.call_function("div", turn, F.col("__times")))
         .withColumn("__seat", seat)
         .select(*df.columns, "pack_id", "__seat.slot", "__seat.start", "__seat.end")
     )

@@ -47,7 +47,9 @@ def write_encoded(
     own folder, so a restart leaves no duplicates."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         recipes.encoded(batch, vocab).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.unpersist()
 
     return (
         measured(rows, recipe, tokens, max_length)
