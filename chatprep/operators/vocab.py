@@ -40,8 +40,11 @@ def build_vocab(df: DataFrame, specials: Sequence[str], tokens: str = "tokens")
     return numbered(counts, order, "id", "vocabulary").select("token", "n", F.col("id").cast("int"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, key: str = "row_id", tokens: str = "tokens") -> DataFrame:
+def encode(
+    df: DataFrame, vocab: DataFrame, key: str | Sequence[str] = "row_id", tokens: str = "tokens"
+) -> DataFrame:
     """Replaces ``tokens`` by ``input_ids``; an unknown token gets the reserved id.
+    ``key`` must name a row: routed rows need ``["role", "row_id"]``.
 
     ``vocab`` must be a stored table with ``id`` falling with the token's count.
     Rows are placed by ``key`` before their tokens are spread out, so the ids come
@@ -50,12 +53,13 @@ def encode(df: DataFrame, vocab: DataFrame, key: str = "row_id", tokens: str = "
     vocabulary is larger than that, the few rare tokens left are looked up by a
     join on the token, which then has no hot key.
     """
+    key = [key] if isinstance(key, str) else list(key)
     last, unknown = vocab.agg(
         F.max("id"), F.max(F.when(F.col("token") == UNKNOWN, F.col("id")))
     ).first()
     common = vocab.filter(F.col("id") < BROADCAST_TOKENS).select("token", "id")
-    rows = df.repartition(key)
-    spread = _spread(rows, tokens, key)
+    rows = df.repartition(*key)
+    spread = _spread(rows, tokens, *key)
     found = spread.join(F.broadcast(common), "token", "left")
     if last >= BROADCAST_TOKENS:
         rare = vocab.filter(F.col("id") >= BROADCAST_TOKENS).select("token", "id")
@@ -67,9 +71,9 @@ def encode(df: DataFrame, vocab: DataFrame, key: str = "row_id", tokens: str = "
         F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id"))
     )
     ids = (
-        found.groupBy(key)
+        found.groupBy(*key)
         .agg(F.array_sort(F.collect_list(numbered_ids)).alias("__ids"))
-        .select(key, F.transform("__ids", lambda x: x["id"]).alias("input_ids"))
+        .select(*key, F.transform("__ids", lambda x: x["id"]).alias("input_ids"))
     )
     return rows.drop(tokens).join(ids, key, "left")
 

@@ -105,17 +105,19 @@ roles(role, split) AS (VALUES ('train', 'train'), ('valid', 'validation'), ('val
 fitting AS (SELECT * FROM pool WHERE split <> 'train' OR length <= {S.MAX_LENGTH}),
 routed AS (SELECT role, f.* FROM fitting f JOIN roles USING (split))"""
 
+_VOCABULARY = f"""vocabulary AS (
+  SELECT token, row_number() OVER (
+    ORDER BY coalesce(list_position([{_SPECIALS}], token), {_N_SPECIALS + 1}),
+      CASE WHEN list_position([{_SPECIALS}], token) IS NULL THEN n END DESC, token) - 1 AS id
+  FROM (SELECT coalesce(c.token, s.token) AS token, coalesce(n, 0) AS n
+        FROM counted c FULL JOIN (SELECT unnest([{_SPECIALS}]) AS token) s ON c.token = s.token))"""
+
 _ENCODED = f"""{_MEASURED},
 kept AS (SELECT * FROM judged WHERE reason IS NULL AND length <= {S.MAX_LENGTH}),
 spread AS (
   SELECT row_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM kept),
 counted AS (SELECT token, count(*) AS n FROM spread GROUP BY token),
-vocabulary AS (
-  SELECT token, row_number() OVER (
-    ORDER BY coalesce(list_position([{_SPECIALS}], token), {_N_SPECIALS + 1}),
-      CASE WHEN list_position([{_SPECIALS}], token) IS NULL THEN n END DESC, token) - 1 AS id
-  FROM (SELECT coalesce(c.token, s.token) AS token, coalesce(n, 0) AS n
-        FROM counted c FULL JOIN (SELECT unnest([{_SPECIALS}]) AS token) s ON c.token = s.token)),
+{_VOCABULARY},
 placed AS (SELECT row_id, pos, token, id FROM spread JOIN vocabulary USING (token)),
 marked AS (
   SELECT *,
@@ -350,14 +352,19 @@ SELECT role, source_ord, source, split, row_id, length, n_images FROM routed""",
     CASE doc_id % 10 WHEN 8 THEN 'validation' WHEN 9 THEN 'test' ELSE 'train' END AS split,
     {_piece("'user'", f"'{_T.image}'", "''")} || {_piece("'assistant'", "''", "text")} || '{_T.eos}' AS text
   FROM documents),
+cut AS (SELECT row_id, source, split, {_tokens('text')} AS tokens FROM rendered),
+spread AS (SELECT row_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM cut),
+counted AS (SELECT token, count(*) AS n FROM spread GROUP BY token),
+{_VOCABULARY},
+ids AS (SELECT row_id, {_join('id', 'pos')} AS input_ids FROM spread JOIN vocabulary USING (token) GROUP BY row_id),
 limits(source, split, max_rows) AS (VALUES {_LIMIT_ROWS}),
 ordered AS (
-  SELECT row_id, source, split, max_rows, {_length('text')} AS length, row_number() OVER (
+  SELECT row_id, source, split, max_rows, len(tokens)::INTEGER AS length, row_number() OVER (
     PARTITION BY source, split ORDER BY md5('{S.SEED}:' || row_id), row_id) AS nth
-  FROM rendered LEFT JOIN limits USING (source, split)),
+  FROM cut LEFT JOIN limits USING (source, split)),
 pool AS (SELECT * FROM ordered WHERE max_rows IS NULL OR nth <= max_rows),
 {_ROUTED}
-SELECT role, source, split, row_id, length, length AS n_tokens FROM routed""",
+SELECT role, source, split, row_id, length, input_ids FROM routed JOIN ids USING (row_id)""",
     "top_lengths": f"""WITH {_LENGTHS}, longest AS (
   SELECT source, split, row_id, length, row_number() OVER (
     PARTITION BY source, split ORDER BY length DESC, row_id)::INTEGER AS rank

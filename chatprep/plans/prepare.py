@@ -1,17 +1,24 @@
-"""Sources to role tables: map, truncate, filter, route."""
+"""Sources to role tables: map, truncate, filter, encode, route."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
-from chatprep.operators import guards, profile, roles
+from chatprep.operators import guards, roles, vocab
 from chatprep.plans import recipes
 from chatprep.settings import ChatTokens
 from chatprep.sources.stages import scratch, stage
 
 
+class Prepared(NamedTuple):
+    rows: DataFrame
+    refused: DataFrame
+    vocabulary: DataFrame
+
+
 def prepare(
     raw: DataFrame,
     recipe: str,
@@ -24,26 +31,28 @@ def prepare(
     seed: int = 0,
     cache_dir: str | None = None,
     inputs: Sequence[str] = (),
-) -> tuple[DataFrame, DataFrame]:
-    """``(role rows, rejected rows)``.
+) -> Prepared:
+    """Role rows with ``input_ids`` and ``length``, the refused rows with their
+    reason, and the vocabulary of all rows that were not refused.
 
     The map stage is stored: everything after it reads single columns (key,
     length, reason), so truncation and filter never render a text again, and the
-    length filter reaches the file scan. With ``cache_dir`` both stages are kept
+    length filter reaches the file scan. Only rows that some role keeps are
+    encoded, once, before they are routed. With ``cache_dir`` the stages are kept
     under a fingerprint of ``inputs`` and all settings and reused by later runs.
     """
     limits = dict(limits or {})
     mapping = {"inputs": list(inputs), "recipe": recipe, "tokens": vars(tokens)}
     routing = {"splits": dict(splits), "max_length": max_length, "limits": limits, "do": list(do), "seed": seed}
-    measured = recipes.apply(raw, recipe, tokens)
-    stored = stage(measured, cache_dir, "map", mapping) if cache_dir else scratch(measured, "map")
-    kept = guards.kept(stored).drop("n_placeholders", "n_images", "reason")
-    routed = roles.route(roles.truncate(kept, limits, seed), splits, max_length, do)
-    if cache_dir:
-        routed = stage(routed, cache_dir, "filter", mapping | routing)
-    return routed, guards.rejects(stored)
-
-
-def report(routed: DataFrame, bins: int, width: int) -> DataFrame:
-    """Length histogram of each role."""
-    return profile.histogram(routed, ["role"], bins, width)
+
+    def store(df: DataFrame, name: str, params: dict) -> DataFrame:
+        return stage(df, cache_dir, name, params) if cache_dir else scratch(df, name)
+
+    mapped = store(recipes.apply(raw, recipe, tokens), "map", mapping)
+    kept = guards.kept(mapped).drop("text", "n_placeholders", "n_images", "reason")
+    words = store(vocab.build_vocab(kept, tokens.specials), "words", mapping)
+    train = splits.get("train", ()) if "train" in do else ()
+    drawn = roles.length_filter(roles.truncate(kept, limits, seed), max_length, train)
+    wanted = {s for role in do for s in splits.get(role, ())}
+    ids = store(vocab.encode(drawn.filter(drawn["split"].isin(*wanted)), words), "filter", mapping | routing)
+    return Prepared(roles.route(ids, splits, max_length, do), guards.rejects(mapped), words)

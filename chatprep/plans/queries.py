@@ -400,11 +400,13 @@ def size_report(spark, folder):
 @query
 def prepared_roles(spark, folder):
     """Captions through all preprocessing steps to their roles."""
-    routed, _ = prepare(
+    made = prepare(
         fixtures.captions(spark, folder), "caption", S.TOKENS,
         splits=SPLITS, max_length=S.MAX_LENGTH, limits=LIMITS, seed=S.SEED,
     )
-    return routed.select("role", "source", "split", "row_id", "length", F.size("tokens").alias("n_tokens"))
+    return made.rows.select(
+        "role", "source", "split", "row_id", "length", flat(F.col("input_ids")).alias("input_ids")
+    )
 
 
 # Profiles

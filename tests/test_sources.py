@@ -4,7 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from chatprep.operators import guards, render
+from chatprep.operators import guards, ordering, packing, render
 from chatprep.plans import packed, recipes
 from chatprep.plans.prepare import prepare
 from chatprep.settings import TOKENS
@@ -78,14 +78,34 @@ def test_prepare_reuses_both_stages(spark, small, tmp_path):
     run = lambda rows, n: prepare(
         rows, "caption", TOKENS, splits=fixtures.SPLITS, max_length=n, cache_dir=str(tmp_path), inputs=[small]
     )
-    first, rejected = run(raw, 500)
-    assert rejected.count() == 0 and 0 < first.count()
+    first = run(raw, 500)
+    assert first.refused.count() == 0 and 0 < first.rows.count()
+    assert first.rows.filter("size(input_ids) != length").count() == 0
     # Nothing of the raw rows is read again: an empty input gives the same rows.
-    again, _ = run(raw.limit(0), 500)
-    assert again.count() == first.count()
-    longer, _ = run(raw.limit(0), 5000)
-    assert longer.count() > first.count()
-    assert len([p for p in tmp_path.iterdir()]) == 3
+    assert run(raw.limit(0), 500).rows.count() == first.rows.count()
+    assert run(raw.limit(0), 5000).rows.count() > first.rows.count()
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["filter", "filter", "map", "words"]
+
+
+def test_readme_way(spark, small):
+    """Sources to packs of each role, by the public functions alone."""
+    raw = collection.load(
+        spark,
+        {
+            "captions": collection.Source(
+                f"{small}/documents.parquet", {"caption": "text"}, row_id="doc_id", split=fixtures.split_of(F.col("doc_id"))
+            )
+        },
+    ).withColumn("image_refs", F.array("source"))
+    made = prepare(raw, "caption", TOKENS, splits=fixtures.SPLITS, max_length=500, limits={"captions": {"train": 90}})
+    rows = stages.scratch(made.rows.filter("length <= 500"), "rows")
+    plan = stages.scratch(packing.strategies(rows, 500, 20, ["role"]), "strategies")
+    packs = packing.collect_packs(packing.assign(rows, plan, ordering.shuffled(1, 0), ["role"]), ["role"])
+    whole = packs.select("role", *packing.concatenated(labels=None), packing.images())
+    assert whole.filter("size(input_ids) > 500").count() == 0
+    got = {r["role"]: (r["n"], r["images"]) for r in whole.groupBy("role").agg(F.sum(F.size("input_ids")).alias("n"), F.sum(F.size("image_refs")).alias("images")).collect()}
+    want = {r["role"]: (r["n"], r["images"]) for r in rows.groupBy("role").agg(F.sum("length").alias("n"), F.count("*").alias("images")).collect()}
+    assert got == want and set(got) == {"train", "valid", "test"}
 
 
 def test_scratch_is_released(spark):
