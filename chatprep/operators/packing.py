@@ -137,29 +137,28 @@ def strategies(df: DataFrame, max_len: int, limit: int, by: Sequence[str] = ())
 def _places(plan: DataFrame) -> DataFrame:
     """One row per slot of a strategy, with the slot's offsets in the pack."""
     upto = lambda k: F.aggregate(F.slice("lengths", 1, k), F.lit(0), lambda a, x: a + x)
-    slots = plan.select("*", F.posexplode("lengths").alias("slot", "length"))
-    return slots.withColumn("end", upto(F.col("slot") + 1)).withColumn(
-        "start", F.col("end") - F.col("length")
-    )
+    each = plan.select("*", F.posexplode("lengths").alias("slot", "length"))
+    ended = each.withColumn("end", upto(F.col("slot") + 1))
+    return ended.withColumn("start", F.col("end") - F.col("length"))
 
 
-def slots(plan: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Every slot of every pack ``(by, pack_id, slot, length, start, end)``. A
-    strategy may stand for billions of packs, so its copies are split into chunks
-    and spread over tasks before they are listed."""
+def packs(plan: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Every pack ``(by, pack_id, lengths)``. A strategy may stand for billions of
+    packs, so its copies are split into chunks and dealt out to tasks before they
+    are listed."""
     last = F.col("n") - 1
-    chunks = plan.select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(_CHUNK).cast("long"))).alias("__from")
+    step = F.lit(_CHUNK).cast("long")
+    chunks = plan.withColumn(
+        "__from", F.explode(F.sequence(F.lit(0).cast("long"), last, step))
     ).repartition("strategy_id", "__from")
-    packs = chunks.select(
-        *by,
-        "lengths",
-        F.col("first_pack"),
-        F.explode(F.sequence("__from", F.least(F.col("__from") + (_CHUNK - 1), last))).alias("__copy"),
-    )
-    return _places(packs.withColumn("pack_id", F.col("first_pack") + F.col("__copy"))).select(
-        *by, "pack_id", "slot", "length", "start", "end"
-    )
+    copies = F.sequence("__from", F.least(F.col("__from") + (_CHUNK - 1), last))
+    listed = chunks.select(*by, "lengths", "first_pack", F.explode(copies).alias("__copy"))
+    return listed.select(*by, (F.col("first_pack") + F.col("__copy")).alias("pack_id"), "lengths")
+
+
+def slots(plan: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Every slot of every pack ``(by, pack_id, slot, length, start, end)``."""
+    return _places(packs(plan, by)).drop("lengths")
 
 
 def assign(df: DataFrame, plan: DataFrame, order: Order, by: Sequence[str] = ()) -> DataFrame:

@@ -50,7 +50,7 @@ def render_turns(
         turns.withColumn("__m", one[0])
         .withColumn("piece", template.turn(F.col("__m.role"), F.col("__m.parts"), tokens))
         .withColumn("piece", F.when(F.col("__m.parts").isNotNull(), F.col("piece")))
-        .withColumn("n_tokens", F.size(tok.words(tok.spaced(F.col("piece"), tokens))))
+        .withColumn("n_tokens", F.array_size(tok.words(tok.spaced(F.col("piece"), tokens))))
         .withColumn("n_placeholders", count_placeholders(F.col("piece"), tokens.image))
         .drop("__m", "content")
     )
@@ -74,7 +74,7 @@ def conversation_sizes(pieces: DataFrame, key: str = "conv_id") -> DataFrame:
     return pieces.groupBy(key).agg(
         (F.sum("n_tokens") + 2).cast("int").alias("length"),
         F.sum("n_placeholders").cast("int").alias("n_placeholders"),
-        F.max(F.col("piece").isNull()).alias("bad"),
+        F.bool_or(F.col("piece").isNull()).alias("bad"),
     )
 
 
@@ -110,5 +110,5 @@ def assemble(
 def rendered_length(df: DataFrame, tokens: ChatTokens, text: str = "text") -> DataFrame:
     """Adds ``tokens`` and ``length``."""
     return df.withColumn("tokens", tok.tokenise(F.col(text), tokens)).withColumn(
-        "length", F.size("tokens")
+        "length", F.array_size("tokens")
     )

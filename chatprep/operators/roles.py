@@ -112,17 +112,26 @@ def concat(tables: Sequence[DataFrame]) -> DataFrame | None:
 
 
 def top_lengths(
-    df: DataFrame, max_length: int, train_splits: Sequence[str], k: int = 100, do_train: bool = True
+    df: DataFrame,
+    max_length: int,
+    train_splits: Sequence[str],
+    k: int = 100,
+    do_train: bool = True,
+    pieces: int = 64,
 ) -> DataFrame:
     """The ``k`` longest rows of each (source, split). Spark keeps only ``k`` rows
-    per task before the shuffle, so a large source is no large group here."""
-    w = W.partitionBy(*PLACE).orderBy(F.col("length").desc(), F.col("row_id"))
-    return (
-        length_filter(df, max_length, train_splits, do_train)
-        .select(*PLACE, "row_id", "length")
-        .withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= k)
-    )
+    per group and task before a shuffle; a first round over ``pieces`` of each group
+    leaves few rows for the task that ends up with a large source."""
+    longest = [F.col("length").desc(), F.col("row_id")]
+    piece = F.pmod(F.hash("row_id"), F.lit(pieces)).alias("__piece")
+
+    def first(rows: DataFrame, *by: str) -> DataFrame:
+        nth = F.row_number().over(W.partitionBy(*by).orderBy(*longest))
+        return rows.withColumn("rank", nth).filter(F.col("rank") <= k)
+
+    rows = length_filter(df, max_length, train_splits, do_train)
+    rows = first(rows.select(*PLACE, "row_id", "length", piece), *PLACE, "__piece")
+    return first(rows.drop("__piece", "rank"), *PLACE)
 
 
 def size_report(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep import settings as S
+from chatprep.functions import images
 from chatprep.operators import guards, packing, render, vocab
 from chatprep.operators.ordering import Order, latest_first, shuffled
 from chatprep.operators.roles import within
@@ -13,20 +14,30 @@ from chatprep.sources import fixtures
 from chatprep.sources.stages import scratch
 
 
+def judged_conversations(pieces: DataFrame, image_refs: Column, key: str = "conv_id") -> DataFrame:
+    """``(key, length, n_placeholders, image_refs, n_images, reason)`` of each
+    conversation, from sums over its rendered turns."""
+    n_images = images.count_images(F.col("image_refs"))
+    reason = guards.reason(~F.col("bad"), F.col("n_placeholders"), F.col("n_images"))
+    return (
+        render.conversation_sizes(pieces, key)
+        .withColumn("image_refs", image_refs)
+        .withColumn("n_images", n_images)
+        .withColumn("reason", reason)
+        .drop("bad")
+    )
+
+
 def fitting_conversations(
-    turns: DataFrame, image_refs, tokens: S.ChatTokens, max_length: int, key: str = "conv_id"
+    turns: DataFrame, image_refs: Column, tokens: S.ChatTokens, max_length: int, key: str = "conv_id"
 ) -> DataFrame:
     """``(row_id, image_refs, tokens, length)`` of the conversations that pass the
-    guards and fit. Guards and length come from sums over turns, so only what is
-    kept gets put together. The sums are stored: they are narrow, and what is
-    wanted and what is too heavy are both read from them."""
+    guards and fit. Only what is kept gets put together. The sums are stored: they
+    are narrow, and what is wanted and what is too heavy are both read from them."""
     pieces = render.render_turns(turns, tokens)
-    sizes = scratch(render.conversation_sizes(pieces, key), "sizes").withColumn("image_refs", image_refs)
-    reason = guards.reason(
-        ~F.col("bad"), F.col("n_placeholders"), F.when(F.col("image_refs").isNotNull(), F.size("image_refs"))
-    )
-    wanted = sizes.filter(reason.isNull() & within(max_length)).select(key, "length", "image_refs")
-    oversize = sizes.filter(~within(max_length)).select(key, "length")
+    judged = scratch(judged_conversations(pieces, image_refs, key), "judged")
+    wanted = guards.kept(judged).filter(within(max_length)).select(key, "length", "image_refs")
+    oversize = judged.filter(~within(max_length)).select(key, "length")
     rows = render.assemble(pieces, wanted, oversize, tokens, key)
     return render.rendered_length(rows, tokens).select(
         F.col(key).alias("row_id"), "image_refs", "tokens", "length"
@@ -40,6 +51,13 @@ def fitting_chat(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def judged_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversations of the turn table, measured but not put together."""
+    pieces = render.render_turns(fixtures.turns(spark, folder), S.TOKENS)
+    judged = judged_conversations(pieces, fixtures.image_refs(F.col("conv_id")))
+    return judged.withColumnRenamed("conv_id", "row_id")
+
+
 def places(
     rows: DataFrame, max_length: int, limit: int, shuffle: tuple[int, int] | None = None, by=()
 ) -> tuple[DataFrame, DataFrame]:

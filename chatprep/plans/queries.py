@@ -20,6 +20,7 @@ from chatprep.sources import collection, fixtures
 from chatprep.sources.fixtures import LIMITS, SPLITS
 from chatprep.sources.stages import scratch
 
+# Queries that need no text of a whole conversation use sums over its turns.
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -161,7 +162,7 @@ def _measured(spark, folder) -> DataFrame:
 
 @query
 def count_placeholders(spark, folder):
-    return _measured(spark, folder).select("row_id", "n_placeholders")
+    return packed.judged_chat(spark, folder).select("row_id", "n_placeholders")
 
 
 @query
@@ -180,7 +181,7 @@ def first_image(spark, folder):
 
 @query
 def token_length(spark, folder):
-    return _measured(spark, folder).select("row_id", "length")
+    return packed.judged_chat(spark, folder).select("row_id", "length")
 
 
 @query
@@ -188,7 +189,7 @@ def expanded_length(spark, folder):
     longer = images.expanded_length(
         F.col("length"), F.col("n_placeholders"), S.IMAGE_SIZE, S.PATCH_SIZE
     )
-    return _measured(spark, folder).select("row_id", longer.alias("expanded_length"))
+    return packed.judged_chat(spark, folder).select("row_id", longer.alias("expanded_length"))
 
 
 @query
@@ -209,21 +210,21 @@ def output_columns(spark, folder):
 
 @query
 def drop_image_mismatch(spark, folder):
-    rows = _measured(spark, folder)
+    rows = packed.judged_chat(spark, folder)
     bad = guards.image_mismatch(F.col("n_placeholders"), F.col("n_images"))
     return rows.filter(~bad).select("row_id", "n_placeholders", "n_images")
 
 
 @query
 def drop_orphan_placeholder(spark, folder):
-    rows = _measured(spark, folder)
+    rows = packed.judged_chat(spark, folder)
     bad = guards.orphan_placeholder(F.col("n_placeholders"), F.col("n_images"))
     return rows.filter(~bad).select("row_id", "n_placeholders", "n_images")
 
 
 @query
 def reject_report(spark, folder):
-    return guards.rejects(_measured(spark, folder)).groupBy("reason").agg(F.count("*").alias("n"))
+    return guards.rejects(packed.judged_chat(spark, folder)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 # Recipes
@@ -372,7 +373,7 @@ def concat_roles(spark, folder):
     """Captions and conversations of one role as one table in source order."""
     first = fixtures.lengths(spark, folder).withColumn("source_ord", F.lit(0))
     second = (
-        _measured(spark, folder)
+        packed.judged_chat(spark, folder)
         .filter(F.col("reason").isNull())
         .select("row_id", "length", F.size("image_refs").alias("n_images"))
         .withColumn("source", F.lit("chats"))
@@ -659,7 +660,7 @@ def pack_epoch(spark, folder):
     """Two epochs share their strategies, not their rows' places or pack order."""
     rows = _trainable(spark, folder)
     plan = scratch(packing.strategies(rows, S.MAX_LENGTH, S.PACK_LIMIT), "strategies")
-    packs = packing.slots(plan).filter("slot = 0").select("pack_id")
+    packs = packing.packs(plan).select("pack_id")
     per_epoch = []
     for epoch in (0, 1):
         placed = packing.assign(rows, plan, ordering.shuffled(S.SEED, epoch))
