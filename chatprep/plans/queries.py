@@ -375,7 +375,7 @@ def concat_roles(spark, folder):
     second = (
         packed.judged_chat(spark, folder)
         .filter(F.col("reason").isNull())
-        .select("row_id", "length", F.size("image_refs").alias("n_images"))
+        .select("row_id", "length", "n_images")
         .withColumn("source", F.lit("chats"))
         .withColumn("split", F.lit("train"))
         .withColumn("source_ord", F.lit(1))

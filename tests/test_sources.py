@@ -152,3 +152,19 @@ def test_bad_turn_drops_its_conversation(spark):
     made = packed.fitting_conversations(turns, F.lit(None).cast("array<string>"), TOKENS, 100).collect()
     assert [r["row_id"] for r in made] == [2]
     assert render.conversation_sizes(render.render_turns(turns, TOKENS)).filter("bad").count() == 1
+
+
+def test_hot_conversation_is_dropped_before_assembly(spark):
+    """One conversation holds nearly all turns; it cannot fit and is not collected."""
+    hot = spark.range(5000).selectExpr("7L conv_id", "id turn", "'user' role", "'\"w w\"' content")
+    cold = spark.range(40).selectExpr("100 + id conv_id", "0L turn", "'user' role", "'\"a\"' content")
+    turns = hot.unionByName(cold)
+    none = F.lit(None).cast("array<string>")
+    made = packed.fitting_conversations(turns, none, TOKENS, 100)
+    assert sorted(r["row_id"] for r in made.collect()) == list(range(100, 140))
+    pieces = render.render_turns(turns, TOKENS)
+    sizes = packed.judged_conversations(pieces, none)
+    heavy = sizes.filter("length > 100").select("conv_id", "length")
+    everything = sizes.select("conv_id", "length", "image_refs")
+    # Even when asked for everything, the heavy one is gone before the join.
+    assert render.assemble(pieces, everything, heavy, TOKENS).count() == 40
