@@ -5,7 +5,8 @@ from compare import connect, differs
 
 import __spark_entry__ as entry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from chatprep.plans.oracle import ORACLE_SQL as SQL
+from chatprep.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
