@@ -86,4 +86,66 @@ WHERE ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13
 
 OP1 = _op1(12, 0.7, 0.5, "mix-1")
 
-ORACLE_SQL = {"op1_mix_sources": OP1, "op4_minhash_near_dedup": OP4, "op8_line_dedup": OP8}
+OP2 = """
+WITH split AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{up}', '{low}'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), rules(host, path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), fits AS (
+  SELECT page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(verdict, length(r.host || r.path)) AS verdict
+  FROM split s JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path) GROUP BY 1
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM split LEFT JOIN fits USING (page_id)
+""".format(up=_UPPER, low=_LOWER)
+
+_PIECES = r"\p{L}+|\p{N}{1,3}|[^\x20\x09-\x0D\p{L}\p{N}]+"
+
+OP7 = f"""
+WITH now AS (
+  SELECT doc_id, source, lang, CASE WHEN l.quality = 0 THEN regexp_replace(text, '[#*$%&!|]+', '', 'g') ELSE text END AS text
+  FROM documents LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0
+), counted AS (
+  SELECT source, lang, 'words-1' AS tokenizer, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS n FROM now
+  UNION ALL SELECT source, lang, 'pieces-1', coalesce(len(regexp_extract_all(text, '{_PIECES}')), 0) FROM now
+)
+SELECT source, lang, tokenizer, count(*) AS docs, sum(n)::BIGINT AS tokens FROM counted GROUP BY 1, 2, 3
+"""
+
+_KINDS = [
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""),
+    ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+]
+_MATCHES = "\nUNION ALL ".join(
+    f"SELECT doc_id, {i} AS rank, '{k}' AS kind, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g"
+    + (f", regexp_extract_all(t, '{p}', 2) AS v FROM d" if k == "assign" else ", m AS v FROM d")
+    for i, (k, p) in enumerate(_KINDS)
+)
+
+OP9 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_MATCHES}),
+each AS (SELECT doc_id, rank, kind, m, g, v, unnest(generate_series(1, len(m))) AS i FROM found WHERE len(m) > 0),
+placed AS (
+  SELECT doc_id, rank, kind, length(m[i]) AS size, length(v[i]) AS value,
+    list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM each
+), kept AS (
+  SELECT doc_id, kind, rank, start::BIGINT AS start, kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span FROM placed
+  WHERE CASE kind WHEN 'assign' THEN value >= 6 WHEN 'access' THEN size >= 20 WHEN 'hex' THEN size >= 24 ELSE true END
+), per AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
+    string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM kept GROUP BY 1
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (doc_id)
+"""
+
+ORACLE_SQL = {
+    "op1_mix_sources": OP1, "op2_url_filter": OP2, "op4_minhash_near_dedup": OP4, "op7_token_counts": OP7,
+    "op8_line_dedup": OP8, "op9_secret_scan": OP9,
+}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chatprep.llm import decontamination, line_dedup, mixing, near_dedup, quality
+from chatprep.llm import decontamination, language, line_dedup, mixing, near_dedup, quality, secrets, token_counts, toxicity
+from chatprep.llm import url_filter
+from chatprep.sources.stages import shared_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,7 +48,73 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "text", F.col("removed_lines").cast("long").alias("removed_lines"))
 
 
+#: The rules of the contract, then hosts that a list of bad hosts would name.
+URL_RULES = (
+    url_filter.Rule("net", "/"),
+    url_filter.Rule("example.net", "/en/", allow=True),
+    url_filter.Rule("example.com", "/de/"),
+    url_filter.Rule("org", "/fr/", allow=True),
+)
+
+
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged(_table(spark, folder, "pages"), URL_RULES)
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = language.held_out(F.col("doc_id"))
+    model = toxicity.train(docs.filter(~held_out), _table(spark, folder, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_sentences", "offending")
+
+
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """A change feed over the documents: all come in, toxic ones are deleted, and those of
+    low quality are revised to their text without repeated blanks and line ends. The last
+    batch is committed twice."""
+    docs = _table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    labels = _table(spark, folder, "labels")
+    rollup = token_counts.Rollup(spark, f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}")
+    rollup.commit(1, token_counts.changes(docs, "insert"))
+    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+    rollup.commit(2, token_counts.changes(docs.join(toxic, "doc_id", "left_semi"), "delete"))
+    low = labels.filter("quality = 0 AND toxic = 0").select("doc_id").distinct()
+    marks = F.regexp_replace("text", "[#*$%&!|]+", "")
+    for _ in range(2):
+        rollup.commit(3, token_counts.changes(docs.join(low, "doc_id", "left_semi").withColumn("text", marks), "revise"))
+    return rollup.totals()
+
+
+def _of_kind(kind: str):
+    return F.filter("found", lambda x: x["kind"] == kind)
+
+
+def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    ledger = secrets.Ledger.fresh(spark)
+    ledger.scan(docs)
+    kinds = [r.kind for r in secrets.BASE]
+    span = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    base = F.filter("found", lambda x: x["kind"].isin(kinds))
+    return ledger.found_in(docs).select(
+        "doc_id",
+        *[F.size(_of_kind(k)).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(F.array_join(F.transform(base, span), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("found", span), ",").alias("spans"),
+    )
+
+
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = language.held_out(F.col("doc_id"))
+    filters = language.train(docs.filter(~held_out))
+    return language.predicted(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op4_minhash_near_dedup, op5_decontaminate, op6_quality_forest, op8_line_dedup)
+    for f in (
+        op1_mix_sources, op2_url_filter, op3_toxicity, op4_minhash_near_dedup, op5_decontaminate, op6_quality_forest,
+        op7_token_counts, op8_line_dedup, op9_secret_scan, op10_language,
+    )
 } | {"pipeline": corpus_pipeline.run}
