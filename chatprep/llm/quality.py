@@ -24,7 +24,7 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50
 WINDOW = 3
 
-#: Rows the forest is fitted on at most, trees, and rows drawn for each tree.
+#: Rows the forest is fitted on, in the mean of the draw, trees, and rows drawn for each tree.
 SAMPLE_ROWS = 16_384
 TREES = 200
 TREE_ROWS = 128
@@ -199,15 +199,19 @@ def _verdict(c: dict[str, np.ndarray], model: Model) -> tuple[np.ndarray, np.nda
 
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """A forest from a sample of at most ``SAMPLE_ROWS`` rows that pass the base rules,
-    drawn by a hash of their statistics and id, and the score that parts labelled good
+    """A forest from some ``SAMPLE_ROWS`` of the rows that pass the base rules (all, if there
+    are fewer), drawn by a hash of their statistics and id, and the score that parts labelled good
     from bad rows best while at most ``MOST_GOOD_LOST`` of the good ones go.
 
     Without rows the forest is empty; without labelled rows of both kinds nothing is
     rejected beyond the base rules. Unlabelled rows and null labels are not counted.
     """
     passing = stats.filter((F.col("n_words") >= LEAST_WORDS) & (100 * F.col("n_repeat_words") <= MOST_REPEATED * F.col("n_words")))
-    sample = passing.orderBy(F.xxhash64("doc_id", F.lit(SEED)), *COUNTS).limit(SAMPLE_ROWS).select(*COUNTS).toPandas()
+    rows = passing.count()
+    if not rows:
+        return Model(None, np.inf)
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED), *COUNTS), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE_ROWS / rows))
+    sample = passing.filter(drawn).select("doc_id", *COUNTS).toPandas().sort_values(["doc_id", *COUNTS], ignore_index=True)
     if not len(sample):
         return Model(None, np.inf)
     forest = Forest.fit(features({k: sample[k].to_numpy() for k in COUNTS}))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from chatprep.llm.hashing import mix, slices
 from chatprep.llm.letters import is_letter, pieces
 
-#: Labelled documents of each class that are learned from at most.
+#: Labelled documents of each class that are learned from, in the mean of the draw.
 SAMPLE_DOCS = 2000
 #: Hashed features, and lengths of the word beginnings among them.
 FEATURES = 1 << 18
@@ -74,8 +74,8 @@ def _noisy_or(p: np.ndarray, text: np.ndarray, count: int) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
           label: str = "toxic", label_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model fitted to at most ``sample_docs`` labelled documents of each class, those
-    whose id hashes lowest. Null texts and labels, and documents whose labels differ,
+    """A model fitted to some ``sample_docs`` labelled documents of each class (all, if
+    there are fewer), drawn by a hash of their id. Null texts and labels, and documents whose labels differ,
     are not learned from; a sample without one of the classes gives a model that calls
     nothing toxic."""
     known = (
@@ -83,11 +83,10 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         .groupBy(F.col(label_id).alias("label_id")).agg(F.min(label).alias("y"), F.max(label).alias("y2"))
         .filter("y = y2").select("label_id", "y").withColumn("h", F.xxhash64("label_id", F.lit(11)))
     )
-    chosen = None
-    for y in (0, 1):
-        part = known.filter(F.col("y") == y).join(docs.select(F.col(id_column).alias("label_id")), "label_id", "left_semi")
-        part = part.orderBy("h", "label_id").limit(sample_docs)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    there = known.join(docs.select(F.col(id_column).alias("label_id")), "label_id", "left_semi")
+    sizes = {r["y"]: r["n"] for r in there.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    part = F.when(F.col("y") == 1, sample_docs / max(sizes.get(1, 1), 1)).otherwise(sample_docs / max(sizes.get(0, 1), 1))
+    chosen = there.filter(F.pmod("h", F.lit(1 << 40)) / F.lit(float(1 << 40)) < part)
     rows = (
         docs.filter(F.col(text_column).isNotNull()).join(chosen, F.col(id_column) == F.col("label_id"))
         .select("y", F.col(text_column).cast("binary").alias("text"))
