@@ -23,7 +23,7 @@ from chatprep import settings as S  # noqa: E402
 from chatprep.operators import batches, packing, profile, vocab  # noqa: E402
 from chatprep.plans import packed, queries, recipes  # noqa: E402
 from chatprep.sources import fixtures  # noqa: E402
-from chatprep.sources.stages import scratch  # noqa: E402
+from chatprep.sources.stages import scope, scratch  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -89,7 +89,8 @@ def main() -> None:
     for run in runs:
         for name in wanted:
             start = time.perf_counter()
-            HEADLINES[name](spark).write.format("noop").mode("overwrite").save()
+            with scope(spark):
+                HEADLINES[name](spark).write.format("noop").mode("overwrite").save()
             run[name] = round(time.perf_counter() - start, 3)
     first, times = runs
     fill = None

@@ -440,3 +440,8 @@ SELECT (SELECT count(*) FROM kept) AS n_sequences, count(*) AS n_tokens, 0::BIGI
   0::BIGINT AS over_budget, count(*) FILTER (label <> {S.IGNORE_LABEL}) AS n_labels,
   (SELECT sum(n_images)::BIGINT FROM kept) AS n_images FROM encoded""",
 }
+
+ORACLE_SQL["load_split_ids"] = f"""
+SELECT s AS role, s AS split, row_id AS doc_id, length, length AS n_ids
+FROM ({ORACLE_SQL["recipe_caption"]}), (VALUES ('train'), ('test')) v(s)
+WHERE reason IS NULL AND (s <> 'train' OR length <= {S.MAX_LENGTH})"""

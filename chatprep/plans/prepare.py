@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chatprep.operators import guards, roles, vocab
 from chatprep.plans import recipes
@@ -19,6 +21,16 @@ class Prepared(NamedTuple):
     vocabulary: DataFrame
 
 
+def check_identity(rows: DataFrame, key: Sequence[str]) -> None:
+    """Raises if a key is null or names several rows: their contents would be mixed."""
+    bad = rows.groupBy(*key).count().filter(
+        (F.col("count") > 1) | reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key])
+    )
+    found = bad.limit(3).collect()
+    if found:
+        raise ValueError(f"rows are not told apart by {', '.join(key)}: {[r.asDict() for r in found]}")
+
+
 def prepare(
     raw: DataFrame,
     recipe: str,
@@ -37,22 +49,30 @@ def prepare(
 
     The map stage is stored: everything after it reads single columns (key,
     length, reason), so truncation and filter never render a text again, and the
-    length filter reaches the file scan. Only rows that some role keeps are
+    length filter reaches the file scan. A row is known by source, split and row id; a
+    null or repeated one is an error. Only rows that some role keeps are
     encoded, once, before they are routed. With ``cache_dir`` the stages are kept
-    under a fingerprint of ``inputs`` and all settings and reused by later runs.
+    under a fingerprint of ``inputs``, the files and columns of ``raw`` and all settings,
+    and reused by later runs. Files changed in place need other ``inputs``.
     """
     limits = dict(limits or {})
-    mapping = {"inputs": list(inputs), "recipe": recipe, "tokens": vars(tokens)}
+    if cache_dir and not inputs:
+        raise ValueError("a cache_dir needs inputs, which name the data the stages are kept for")
+    # Spark gives every file it writes a name of its own, so other data has other files.
+    data = [list(inputs), sorted(raw.inputFiles()), raw.schema.simpleString()]
+    mapping = {"inputs": data, "recipe": recipe, "tokens": vars(tokens)}
     routing = {"splits": dict(splits), "max_length": max_length, "limits": limits, "do": list(do), "seed": seed}
 
     def store(df: DataFrame, name: str, params: dict) -> DataFrame:
         return stage(df, cache_dir, name, params) if cache_dir else scratch(df, name)
 
     mapped = store(recipes.apply(raw, recipe, tokens), "map", mapping)
+    key = [c for c in ("source", "split", "row_id") if c in mapped.columns]
+    check_identity(mapped, key)
     kept = guards.kept(mapped).drop("text", "n_placeholders", "n_images", "reason")
     words = store(vocab.build_vocab(kept, tokens.specials), "words", mapping)
     train = splits.get("train", ()) if "train" in do else ()
     drawn = roles.length_filter(roles.truncate(kept, limits, seed), max_length, train)
     wanted = {s for role in do for s in splits.get(role, ())}
-    ids = store(vocab.encode(drawn.filter(drawn["split"].isin(*wanted)), words), "filter", mapping | routing)
+    ids = store(vocab.encode(drawn.filter(drawn["split"].isin(*wanted)), words, key), "filter", mapping | routing)
     return Prepared(roles.route(ids, splits, max_length, do), guards.rejects(mapped), words)

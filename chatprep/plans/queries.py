@@ -16,6 +16,7 @@ from chatprep.functions import content, images, tokens as tok
 from chatprep.operators import batches, guards, ordering, packing, profile, render, roles, vocab
 from chatprep.plans import packed, recipes
 from chatprep.plans.prepare import prepare
+from chatprep.sources.collection import ROWS_PER_SOURCE, Source, load
 from chatprep.sources import collection, fixtures
 from chatprep.sources.fixtures import LIMITS, SPLITS
 from chatprep.sources.stages import scratch
@@ -410,6 +411,18 @@ def prepared_roles(spark, folder):
     )
 
 
+@query
+def load_split_ids(spark, folder):
+    """Two splits of one source that count their rows alike, through all steps."""
+    path = f"{folder}/documents.parquet"
+    source = Source({"train": path, "test": path}, {"caption": "text"}, row_id="doc_id")
+    raw = load(spark, {"captions": source}).withColumn("image_refs", F.array("source"))
+    made = prepare(raw, "caption", S.TOKENS, splits={"train": ["train"], "test": ["test"]}, max_length=S.MAX_LENGTH)
+    return made.rows.select(
+        "role", "split", (F.col("row_id") % ROWS_PER_SOURCE).alias("doc_id"), "length", F.size("input_ids").alias("n_ids")
+    )
+
+
 # Profiles
 
 

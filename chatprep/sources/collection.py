@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Row ids of one source stay below this, so ids of a collection sort by source.
+# Own ids of one path lie from 0 to below this; others are refused with an error.
 ROWS_PER_SOURCE = 1 << 40
 
 
@@ -55,10 +55,21 @@ def _read(spark: SparkSession, source: Source, path: str, subset: str | None) ->
     return reader.load(path).filter(F.col(source.subset_column) == subset)
 
 
-def _one(spark: SparkSession, name: str, place: int, source: Source, subset: str | None) -> DataFrame:
-    paths = source.path if isinstance(source.path, Mapping) else {None: source.path}
+def _paths(source: Source) -> Mapping[str | None, str]:
+    return source.path if isinstance(source.path, Mapping) else {None: source.path}
+
+
+def _checked_id(name: str, own: Column, place: int) -> Column:
+    """An id of the collection; a null or too large own id stops the job when it is read."""
+    fits = (own >= 0) & (own < ROWS_PER_SOURCE)
+    said = F.concat(F.lit(f"row id of source {name} is null or not below 2^40: "), F.coalesce(own.cast("string"), F.lit("null")))
+    return F.when(fits, F.lit(place * ROWS_PER_SOURCE).cast("long") + own).otherwise(F.raise_error(said).cast("long"))
+
+
+def _one(spark: SparkSession, name: str, place: int, first: int, source: Source, subset: str | None) -> DataFrame:
+    """``first`` numbers the source's first path among all paths of the collection."""
     tables = []
-    for split, path in paths.items():
+    for at, (split, path) in enumerate(_paths(source).items(), first):
         df = _read(spark, source, path, subset)
         named = {k: (F.col(v) if isinstance(v, str) else v) for k, v in source.columns.items()}
         chosen = [c.alias(k) for k, c in named.items()] or [
@@ -66,7 +77,7 @@ def _one(spark: SparkSession, name: str, place: int, source: Source, subset: str
         ]
         if source.row_id:
             own = F.col(source.row_id).cast("long")
-            chosen.insert(0, (F.lit(place * ROWS_PER_SOURCE).cast("long") + own).alias("row_id"))
+            chosen.insert(0, _checked_id(name, own, at).alias("row_id"))
         where = F.lit(split) if split is not None else (source.split if source.split is not None else F.lit("train"))
         tables.append(
             df.select(
@@ -85,13 +96,15 @@ def load(
     subset: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """All sources in list order as one table with ``source``, ``source_ord``,
-    ``split`` and, where a source names its id column, a ``row_id`` that is unique
-    in the collection and sorts by source, then by the source's own id."""
-    picked = subset or {}
-    tables = [
-        _one(spark, name, i, s if isinstance(s, Source) else Source(s), picked.get(name))
-        for i, (name, s) in enumerate(sources.items())
-    ]
+    ``split`` and, where a source names its id column, a ``row_id`` that sorts by
+    source and path, then by the own id. Ids that are unique in each path are unique in
+    the collection, also where the files of several splits each count from 1. An own id
+    that is null, negative or 2^40 and more is an error."""
+    picked, tables, first = subset or {}, [], 0
+    for i, (name, s) in enumerate(sources.items()):
+        source = s if isinstance(s, Source) else Source(s)
+        tables.append(_one(spark, name, i, first, source, picked.get(name)))
+        first += len(_paths(source))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 

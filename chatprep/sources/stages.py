@@ -6,11 +6,14 @@ import hashlib
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_written: list[str] = []
+# Paths of scratch tables, one list for each open scope and one for what is outside.
+_scopes: list[list[str]] = [[]]
 
 
 def fingerprint(params: dict) -> str:
@@ -55,16 +58,33 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     only the columns they need, and they all see the same rows."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the scratch tables this process wrote, once results are stored;
-    gives their number."""
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     conf = spark._jsc.hadoopConfiguration()
-    count = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    count = len(paths)
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
     return count
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables written inside go at its end, and no others; whatever reads them
+    has to be stored by then."""
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        _delete(spark, own)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the scratch tables written outside any scope, once results are stored;
+    gives their number."""
+    return _delete(spark, _scopes[0])

@@ -27,8 +27,8 @@ def test_load_splits_and_subsets(spark, tmp_path):
     base = collection.ROWS_PER_SOURCE
     got = sorted((r["row_id"], r["source"], r["source_ord"], r["split"], r["text"]) for r in made.collect())
     assert got == [
-        (1, "one", 0, "train", "t1"), (2, "one", 0, "train", "t2"), (3, "one", 0, "valid", "t3"),
-        (base + 1, "two", 1, "train", "t1"), (base + 5, "two", 1, "train", "t5"),
+        (1, "one", 0, "train", "t1"), (2, "one", 0, "train", "t2"), (base + 3, "one", 0, "valid", "t3"),
+        (2 * base + 1, "two", 1, "train", "t1"), (2 * base + 5, "two", 1, "train", "t5"),
     ]
 
 
@@ -81,12 +81,56 @@ def test_prepare_reuses_both_stages(spark, small, tmp_path):
     first = run(raw, 500)
     assert first.refused.count() == 0 and 0 < first.rows.count()
     assert first.rows.filter("size(input_ids) != length").count() == 0
-    # Nothing of the raw rows is read again: an empty input gives the same rows.
-    assert run(raw.limit(0), 500).rows.count() == first.rows.count()
-    assert run(raw.limit(0), 5000).rows.count() > first.rows.count()
+    assert run(raw, 500).rows.count() == first.rows.count()
+    assert run(raw, 5000).rows.count() > first.rows.count()
     assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["filter", "filter", "map", "words"]
 
 
+def test_changed_input_is_computed_again(spark, tmp_path):
+    def run(k, **more):
+        spark.createDataFrame([(i, f"w{i} " * k, "a", "train", ["x"]) for i in range(4)], "row_id bigint, caption string, source string, split string, image_refs array<string>").write.mode("overwrite").parquet(f"{tmp_path}/in")
+        raw = spark.read.parquet(f"{tmp_path}/in")
+        return prepare(raw, "caption", TOKENS, splits={"train": ["train"]}, max_length=500, cache_dir=f"{tmp_path}/cache", **more)
+
+    one, two = run(1, inputs=["in"]), run(5, inputs=["in"])
+    length = lambda made: made.rows.agg(F.sum("length")).first()[0]
+    assert length(two) == length(one) + 4 * 4
+    with pytest.raises(ValueError, match="inputs"):
+        run(1)
+
+
+def test_splits_that_repeat_ids_do_not_mix(spark, tmp_path):
+    for split, word in (("train", "a"), ("valid", "b b b")):
+        spark.createDataFrame([(1, word), (2, word)], "id bigint, text string").write.parquet(f"{tmp_path}/{split}")
+    source = collection.Source({s: f"{tmp_path}/{s}" for s in ("train", "valid")}, {"caption": "text"}, row_id="id")
+    raw = collection.load(spark, {"one": source}).withColumn("image_refs", F.array("source"))
+    made = prepare(raw, "caption", TOKENS, splits={"train": ["train"], "valid": ["valid"]}, max_length=500)
+    assert made.rows.count() == 4 and made.rows.filter("size(input_ids) != length").count() == 0
+    assert made.rows.select("row_id").distinct().count() == 4
+    with pytest.raises(ValueError, match="not told apart"):
+        prepare(raw.union(raw.limit(1)), "caption", TOKENS, splits={"train": ["train"]}, max_length=500)
+
+
+@pytest.mark.parametrize("bad", [1 << 40, -1, None])
+def test_ids_that_do_not_fit_are_refused(spark, tmp_path, bad):
+    spark.createDataFrame([(bad, "x")], "id bigint, text string").write.parquet(f"{tmp_path}/one")
+    made = collection.load(spark, {"one": collection.Source(f"{tmp_path}/one", row_id="id")})
+    with pytest.raises(Exception, match="not below 2"):
+        made.select("row_id").collect()
+    assert made.select("text").count() == 1
+
+
+def test_scope_deletes_its_own_tables_only(spark):
+    outside = stages.scratch(spark.range(3).toDF("x"), "outside")
+    with stages.scope(spark):
+        inside = stages.scratch(outside, "inside")
+        assert inside.count() == 3
+        path = inside.inputFiles()[0]
+    assert outside.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+
+
 def test_readme_way(spark, small):
     """Sources to packs of each role, by the public functions alone."""
     raw = collection.load(
