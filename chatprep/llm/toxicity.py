@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from chatprep.llm.hashing import mix, slices
 from chatprep.llm.letters import is_letter, pieces
+from chatprep.sources.stages import scratch
 
 #: Labelled documents of each class that are learned from, in the mean of the draw.
 SAMPLE_DOCS = 2000
@@ -109,22 +110,36 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                     names=["y", "n", "feature", "sentence"],
                 )
 
-    bags = rows.mapInArrow(run, "y int, n int, feature array<int>, sentence array<int>").toArrow()
-    y, n = bags["y"].to_numpy().astype(np.float64), bags["n"].to_numpy().astype(np.int64)
-    if not len(y) or y.min() == y.max():
+    bags = scratch(rows.mapInArrow(run, "y int, n int, feature array<int>, sentence array<int>"), "toxicity-bags")
+    sizes = {r["y"]: r["n"] for r in bags.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
         return Model(np.zeros(FEATURES, np.float32), -20.0)
-    lists = bags["feature"].combine_chunks()
-    of_bag = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    feature = lists.values.to_numpy().astype(np.int64)
-    sentence = bags["sentence"].combine_chunks().values.to_numpy() + (np.cumsum(n) - n)[of_bag]
-    pair = np.unique(of_bag * FEATURES + feature)
-    held = [np.bincount(pair[y[pair // FEATURES] == k] % FEATURES, minlength=FEATURES) for k in (0, 1)]
-    sizes = [(y == k).sum() for k in (0, 1)]
-    pooled = (held[0] + held[1] + 1) / (len(y) + 2)
+    # At most FEATURES rows.
+    held = (
+        bags.select("y", F.explode(F.array_distinct("feature")).alias("feature")).groupBy("feature")
+        .agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")).toPandas()
+    )
+    pooled = (held["toxic"] + held["clean"] + 1) / (sizes[0] + sizes[1] + 2)
     error = np.sqrt(pooled * (1 - pooled) * (1 / sizes[0] + 1 / sizes[1]))
-    excess = (held[1] / sizes[1] - held[0] / sizes[0]) / error
-    common = excess[feature] >= LEAST_EXCESS
-    return _fitted(feature[common], sentence[common], np.repeat(np.arange(len(y)), n), y)
+    excess = (held["toxic"] / sizes[1] - held["clean"] / sizes[0]) / error
+    telling = np.zeros(FEATURES, bool)
+    telling[held["feature"].to_numpy()[excess.to_numpy() >= LEAST_EXCESS]] = True
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            feature, sentence = part.column("feature"), part.column("sentence")
+            bag = np.repeat(np.arange(len(part)), np.diff(feature.offsets.to_numpy()))
+            kept = telling[feature.flatten().to_numpy()]
+            offsets = pa.array(np.searchsorted(bag[kept], np.arange(len(part) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x.flatten().filter(pa.array(kept))) for x in (feature, sentence)]
+            yield pa.RecordBatch.from_arrays([part.column("y"), part.column("n"), *lists], names=["y", "n", "feature", "sentence"])
+
+    made = bags.mapInArrow(reduced, bags.schema).toArrow()
+    y, n = made["y"].to_numpy().astype(np.float64), made["n"].to_numpy().astype(np.int64)
+    lists = [made[c].combine_chunks() for c in ("feature", "sentence")]
+    feature, sentence = (x.flatten().to_numpy().astype(np.int64) for x in lists)
+    of_bag = np.repeat(np.arange(len(y)), np.diff(lists[0].offsets.to_numpy()))
+    return _fitted(feature, sentence + (np.cumsum(n) - n)[of_bag], np.repeat(np.arange(len(y)), n), y)
 
 
 def _fitted(feature: np.ndarray, sentence: np.ndarray, bag: np.ndarray, y: np.ndarray) -> Model:
