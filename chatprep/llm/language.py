@@ -98,12 +98,13 @@ def train(docs: DataFrame, text_column: str = "text", label: str = "lang", id_co
     than ``sample_docs`` documents about so many are drawn by a hash of their id and text;
     the n-gram counts come together in Spark, only slots and masks reach the driver."""
     known = docs.filter(F.col(label).isNotNull() & F.col(text_column).isNotNull())
-    sizes = known.groupBy(F.col(label).alias("name")).agg(F.count(F.lit(1)).alias("docs"))
-    drawn = (
-        known.select(F.col(label).alias("name"), F.col(text_column).alias("text"), F.xxhash64(id_column, text_column).alias("h"))
-        .join(sizes, "name")
-        .filter(F.pmod("h", F.lit(1_000_000)) * F.col("docs") < F.lit(1_000_000 * sample_docs))
-        .select("name", F.col("text").cast("binary").alias("text"))
+    sizes = {r["name"]: r["n"] for r in known.groupBy(F.col(label).alias("name")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return Filters([], np.zeros((SLOTS, 1), np.uint64))
+    share = F.create_map(*[F.lit(x) for k in sorted(sizes) for x in (k, sample_docs / sizes[k])])
+    chance = F.pmod(F.xxhash64(id_column, text_column), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = known.filter(chance < F.element_at(share, F.col(label))).select(
+        F.col(label).alias("name"), F.col(text_column).cast("binary").alias("text")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from chatprep.llm import decontamination, language, line_dedup, mixing, near_dedup, quality, secrets, token_counts, toxicity
 from chatprep.llm import url_filter
-from chatprep.sources.stages import shared_folder
+from chatprep.sources.stages import scratch, shared_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,18 +70,20 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """A change feed over the documents: all come in, toxic ones are deleted, and those of
-    low quality are revised to their text without repeated blanks and line ends. The last
-    batch is committed twice."""
+    low quality are revised to their text without marks. The last batch is committed twice."""
     docs = _table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
     labels = _table(spark, folder, "labels")
-    rollup = token_counts.Rollup(spark, f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}")
-    rollup.commit(1, token_counts.changes(docs, "insert"))
+    plain = docs.withColumn("text", F.regexp_replace("text", "[#*$%&!|]+", ""))
+    # Counted before anything is joined, so no text moves.
+    counted = scratch(token_counts.changes(docs, "insert"), "tokens-counted")
+    revised = scratch(token_counts.changes(plain, "revise"), "tokens-revised")
     toxic = labels.filter("toxic = 1").select("doc_id").distinct()
-    rollup.commit(2, token_counts.changes(docs.join(toxic, "doc_id", "left_semi"), "delete"))
     low = labels.filter("quality = 0 AND toxic = 0").select("doc_id").distinct()
-    marks = F.regexp_replace("text", "[#*$%&!|]+", "")
+    rollup = token_counts.Rollup(spark, f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}")
+    rollup.commit(1, counted)
+    rollup.commit(2, counted.join(toxic, "doc_id", "left_semi").withColumn("operation", F.lit("delete")))
     for _ in range(2):
-        rollup.commit(3, token_counts.changes(docs.join(low, "doc_id", "left_semi").withColumn("text", marks), "revise"))
+        rollup.commit(3, revised.join(low, "doc_id", "left_semi"))
     return rollup.totals()
 
 

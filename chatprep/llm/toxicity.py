@@ -87,7 +87,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     there = known.join(docs.select(F.col(id_column).alias("label_id")), "label_id", "left_semi")
     sizes = {r["y"]: r["n"] for r in there.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     part = F.when(F.col("y") == 1, sample_docs / max(sizes.get(1, 1), 1)).otherwise(sample_docs / max(sizes.get(0, 1), 1))
-    chosen = there.filter(F.pmod("h", F.lit(1 << 40)) / F.lit(float(1 << 40)) < part)
+    # Stored, so that its size is known before the texts are joined: it is bounded by the
+    # sample, and the texts need not move.
+    chosen = scratch(there.filter(F.pmod("h", F.lit(1 << 40)) / F.lit(float(1 << 40)) < part), "toxicity-chosen")
     rows = (
         docs.filter(F.col(text_column).isNotNull()).join(chosen, F.col(id_column) == F.col("label_id"))
         .select("y", F.col(text_column).cast("binary").alias("text"))
