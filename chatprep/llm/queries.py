@@ -48,7 +48,7 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "text", F.col("removed_lines").cast("long").alias("removed_lines"))
 
 
-#: The rules of the contract, then hosts that a list of bad hosts would name.
+#: Longer rules hold before shorter ones; what no rule fits is allowed.
 URL_RULES = (
     url_filter.Rule("net", "/"),
     url_filter.Rule("example.net", "/en/", allow=True),
