@@ -23,6 +23,7 @@ from chatprep import settings as S  # noqa: E402
 from chatprep.operators import batches, packing, profile, vocab  # noqa: E402
 from chatprep.plans import packed, queries, recipes  # noqa: E402
 from chatprep.sources import fixtures  # noqa: E402
+from chatprep.sources.collection import DEAL_OUT  # noqa: E402
 from chatprep.sources.stages import scope, scratch  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -37,6 +38,7 @@ def session() -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(DEAL_OUT, CPUS)  # the tables lie in one file each
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatprep.operators.ordering import ranked, shuffled
+from chatprep.operators.ordering import TABLE_DIGITS, ranked, shuffled
 
 
 def shuffle_rows(df: DataFrame, seed: int, epoch: int) -> DataFrame:
     """Adds the zero-based ``position`` of each row in the epoch's random order."""
-    return ranked(df, [], shuffled(seed, epoch), "position").withColumn(
+    return ranked(df, [], shuffled(seed, epoch, digits=TABLE_DIGITS), "position").withColumn(
         "position", F.col("position") - 1
     )
 
@@ -20,7 +20,7 @@ def fixed(df: DataFrame, size: int, drop_last: bool, seed: int, epoch: int, accu
     """Adds ``position``, ``batch_id`` and ``step_id``: batches of ``size`` rows in
     shuffled order, ``accumulate`` batches to a step. ``drop_last`` leaves out a
     last batch that is short."""
-    rows = ranked(df, [], shuffled(seed, epoch), "position", total="__all")
+    rows = ranked(df, [], shuffled(seed, epoch, digits=TABLE_DIGITS), "position", total="__all")
     rows = rows.withColumn("position", F.col("position") - 1).withColumn(
         "batch_id", F.floor(F.col("position") / size)
     )

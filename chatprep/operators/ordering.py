@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from chatprep.sources.stages import scratch
 
 BUCKET = "__bucket"
-# Three hexadecimal digits of a digest: 4096 even buckets.
-_DIGEST_PREFIX = 3
-_ROWS_PER_BUCKET = 1_000_000
-_MAX_BUCKETS = 512
+# Hexadecimal digits of a digest that make a bucket: 4096 even ones in each group, or a
+# million where the whole table is one group.
+GROUP_DIGITS = 3
+TABLE_DIGITS = 5
 
 
 @dataclass(frozen=True)
@@ -39,22 +39,21 @@ def digest(*parts) -> Column:
     )
 
 
-def shuffled(seed: int, epoch: int | None, row: str = "row_id") -> Order:
+def shuffled(seed: int, epoch: int | None, row: str = "row_id", digits: int = GROUP_DIGITS) -> Order:
     salt = [seed] if epoch is None else [seed, epoch]
     key = digest(*salt, F.col(row).cast("string"))
-    return Order((key, F.col(row)), F.substring(key, 1, _DIGEST_PREFIX))
+    return Order((key, F.col(row)), F.substring(key, 1, digits))
 
 
-def latest_first(df: DataFrame, row: str = "row_id", rows_per_bucket: int = _ROWS_PER_BUCKET) -> Order:
+def latest_first(df: DataFrame, row: str = "row_id", buckets: int = 512) -> Order:
     """Descending ``row``. Bucket bounds are quantiles of the whole table, fetched
-    once as at most 511 numbers, so every later use sees the same bounds and a
-    bucket holds an even share of the rows whatever the ids look like."""
-    steps = [i / _MAX_BUCKETS for i in range(1, _MAX_BUCKETS)]
-    size, quantiles = df.agg(F.count("*"), F.percentile_approx(row, steps, 10_000)).first()
-    buckets = min(_MAX_BUCKETS, -(-size // rows_per_bucket))
+    once as ``buckets`` - 1 numbers, so every later use sees the same bounds and a
+    bucket holds an even share of the rows whatever the ids look like. A table of
+    more rows than 512 tasks should sort wants more ``buckets``."""
     bounds: list = []
     if buckets > 1:
-        bounds = sorted({quantiles[_MAX_BUCKETS * i // buckets - 1] for i in range(1, buckets)})
+        steps = [i / buckets for i in range(1, buckets)]
+        bounds = sorted(set(df.agg(F.percentile_approx(row, steps, 20 * buckets)).first()[0] or []))
     # The number of bounds at or above the value grows as the value falls.
     bucket = (
         F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b >= F.col(row)))

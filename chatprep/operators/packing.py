@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 
 from chatprep.operators.ordering import (
     BUCKET,
+    GROUP_DIGITS,
+    TABLE_DIGITS,
     Order,
     bucket_sizes,
     rank_in_bucket,
@@ -252,10 +254,23 @@ def running_segments(placed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def pack_order(packs: DataFrame, seed: int, epoch: int, by: Sequence[str] = ()) -> DataFrame:
     """Adds the zero-based shuffled ``position`` of each pack in its epoch."""
-    order = shuffled(seed, epoch, "pack_id")
+    order = shuffled(seed, epoch, "pack_id", GROUP_DIGITS if by else TABLE_DIGITS)
     return ranked(packs, list(by), order, "position").withColumn("position", F.col("position") - 1)
 
 
+def gather_batches(rows: DataFrame, placed: DataFrame, position: DataFrame, size: int) -> DataFrame:
+    """``size`` packs joined into one longer sequence. ``position`` holds ``(pack_id,
+    position)``; places are brought to their batch while they are narrow, so row contents
+    move twice, to their place and to their batch."""
+    at = placed.select("row_id", "pack_id", "slot").join(position.select("pack_id", "position"), "pack_id")
+    carried = [c for c in rows.columns if c != "row_id"]
+    return (
+        rows.join(at.withColumn("batch_id", F.floor(F.col("position") / size)).drop("pack_id"), "row_id")
+        .groupBy("batch_id")
+        .agg(F.array_sort(F.collect_list(F.struct("position", "slot", "row_id", *carried))).alias("members"))
+    )
+
+
 def batches_of_packs(packs: DataFrame, size: int) -> DataFrame:
     """``size`` packs joined into one longer sequence, by their ``position``."""
     return (

@@ -75,6 +75,7 @@ def conversation_sizes(pieces: DataFrame, key: str = "conv_id") -> DataFrame:
         (F.sum("n_tokens") + 2).cast("int").alias("length"),
         F.sum("n_placeholders").cast("int").alias("n_placeholders"),
         F.bool_or(F.col("piece").isNull()).alias("bad"),
+        F.count(F.lit(1)).alias("n_turns"),
     )
 
 
@@ -93,7 +94,7 @@ def assemble(
     holds less than one part in ``heaviest`` of the table each, so the join on the
     key meets no hot conversation.
     """
-    heavy = oversize.orderBy(F.col("length").desc(), key).limit(heaviest).select(key)
+    heavy = oversize.orderBy(F.col("n_turns" if "n_turns" in oversize.columns else "length").desc(), key).limit(heaviest).select(key)
     light = pieces.join(F.broadcast(heavy), key, "left_anti")
     ordered = F.array_sort(F.collect_list(F.struct("turn", "piece")))
     said = F.array_join(F.transform("__pieces", lambda p: p["piece"]), "")

@@ -11,8 +11,10 @@ from chatprep.functions import tokens as tok
 from chatprep.operators.ordering import numbered
 from chatprep.settings import UNKNOWN
 
-# Rows of vocabulary that one broadcast may hold, whatever the corpus size.
-BROADCAST_TOKENS = 1_000_000
+# The part of a vocabulary that is broadcast, some 14 MB of text at most: common tokens
+# of usual size, and very common ones that may be longer.
+COMMON_TOKENS, COMMON_BYTES = 100_000, 64
+TOP_TOKENS, TOP_BYTES = 1000, 8192
 
 
 def _spread(df: DataFrame, tokens: str, *keys: str) -> DataFrame:
@@ -40,42 +42,50 @@ def build_vocab(df: DataFrame, specials: Sequence[str], tokens: str = "tokens")
     return numbered(counts, order, "id", "vocabulary").select("token", "n", F.col("id").cast("int"))
 
 
+def unknown_id(vocab: DataFrame) -> int | None:
+    return vocab.filter(F.col("token") == UNKNOWN).agg(F.max("id")).first()[0]
+
+
 def encode(
-    df: DataFrame, vocab: DataFrame, key: str | Sequence[str] = "row_id", tokens: str = "tokens"
+    df: DataFrame, vocab: DataFrame, key: str | Sequence[str] = "row_id", tokens: str = "tokens",
+    unknown: int | None = None,
 ) -> DataFrame:
-    """Replaces ``tokens`` by ``input_ids``; an unknown token gets the reserved id.
-    ``key`` must name a row: routed rows need ``["role", "row_id"]``.
-
-    ``vocab`` must be a stored table with ``id`` falling with the token's count.
-    Rows are placed by ``key`` before their tokens are spread out, so the ids come
-    back together where they are: the corpus moves once, as whole rows. Tokens
-    meet the commonest part of the vocabulary by broadcast. Only where the
-    vocabulary is larger than that, the few rare tokens left are looked up by a
-    join on the token, which then has no hot key.
+    """Replaces ``tokens`` by ``input_ids``; an unknown token gets the reserved id, which is
+    looked up unless ``unknown`` gives it. ``key`` must name a row: routed rows need
+    ``["role", "row_id"]``.
+
+    ``df`` and ``vocab`` are read twice and must be stored, with ``id`` falling with the
+    token's count. Rows are placed by ``key`` before their tokens are spread out, so the
+    ids come back together where they are. Tokens meet the commonest part of the
+    vocabulary by broadcast. The others leave gaps: only ``(key, place, token)`` of a gap
+    goes to the join on the token, and its id comes back to the row. The plan is the same
+    for any size of vocabulary.
     """
     key = [key] if isinstance(key, str) else list(key)
-    last, unknown = vocab.agg(
-        F.max("id"), F.max(F.when(F.col("token") == UNKNOWN, F.col("id")))
-    ).first()
-    common = vocab.filter(F.col("id") < BROADCAST_TOKENS).select("token", "id")
+    if unknown is None:
+        unknown = unknown_id(vocab)
+    size = F.octet_length("token")
+    often = ((F.col("id") < COMMON_TOKENS) & (size <= COMMON_BYTES)) | ((F.col("id") < TOP_TOKENS) & (size <= TOP_BYTES))
+    common = F.broadcast(vocab.filter(often).select("token", "id"))
     rows = df.repartition(*key)
-    spread = _spread(rows, tokens, *key)
-    found = spread.join(F.broadcast(common), "token", "left")
-    if last >= BROADCAST_TOKENS:
-        rare = vocab.filter(F.col("id") >= BROADCAST_TOKENS).select("token", "id")
-        known = found.filter(F.col("id").isNotNull())
-        sought = found.filter(F.col("id").isNull()).drop("id").join(rare, "token", "left")
-        found = known.unionByName(sought)
     # A row without tokens came along with a null token and gets an empty list.
-    numbered_ids = F.when(
-        F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id"))
-    )
+    found = _spread(rows, tokens, *key).join(common, "token", "left")
     ids = (
         found.groupBy(*key)
-        .agg(F.array_sort(F.collect_list(numbered_ids)).alias("__ids"))
-        .select(*key, F.transform("__ids", lambda x: x["id"]).alias("input_ids"))
+        .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("__ids"))
+    )
+    gaps = _spread(df, tokens, *key).filter(F.col("token").isNotNull()).join(common, "token", "left_anti")
+    filled = (
+        gaps.join(vocab.filter(~often).select("token", "id"), "token")
+        .groupBy(*key)
+        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "id"))).alias("__filled"))
+    )
+    at = lambda x: F.coalesce(x["id"], F.try_element_at("__filled", x["pos"]), F.lit(unknown))
+    return (
+        rows.drop(tokens).join(ids, key, "left").join(filled, key, "left")
+        .withColumn("input_ids", F.transform("__ids", at))
+        .drop("__ids", "__filled")
     )
-    return rows.drop(tokens).join(ids, key, "left")
 
 
 def check(

@@ -37,7 +37,8 @@ def fitting_conversations(
     pieces = render.render_turns(turns, tokens)
     judged = scratch(judged_conversations(pieces, image_refs, key), "judged")
     wanted = guards.kept(judged).filter(within(max_length)).select(key, "length", "image_refs")
-    oversize = judged.filter(~within(max_length)).select(key, "length")
+    # A conversation of unusable turns has no length and is as unwanted as an overlong one.
+    oversize = judged.filter(F.col("reason").isNotNull() | ~within(max_length)).select(key, "n_turns")
     rows = render.assemble(pieces, wanted, oversize, tokens, key)
     return render.rendered_length(rows, tokens).select(
         F.col(key).alias("row_id"), "image_refs", "tokens", "length"

@@ -197,7 +197,7 @@ def expanded_length(spark, folder):
 def output_columns(spark, folder):
     """Only declared columns leave the map stage; every source column is gone."""
     rows = fixtures.chat(spark, folder).withColumn("unused", F.lit(1))
-    made = guards.kept(recipes.chat(rows, S.TOKENS))
+    made = guards.kept(guards.settled(recipes.chat(rows, S.TOKENS)))
     return made.select(
         "row_id",
         "length",
@@ -640,12 +640,18 @@ def pack_segments(spark, folder):
     return _beside(checked, packs.agg(F.sum("visible_pairs").alias("visible_pairs")))
 
 
-def _chat_packs(spark, folder) -> DataFrame:
+def _chat_places(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(encoded rows, plan, placed rows)`` of the conversations."""
     rows = scratch(_encoded(spark, folder), "encoded")
-    _, placed = packed.places(
+    plan, placed = packed.places(
         rows.select("row_id", "length"), S.MAX_LENGTH, S.PACK_LIMIT, (S.SEED, S.EPOCH)
     )
-    return packing.gather(rows.drop("length"), placed)
+    return rows.drop("length"), plan, placed
+
+
+def _chat_packs(spark, folder) -> DataFrame:
+    rows, _, placed = _chat_places(spark, folder)
+    return packing.gather(rows, placed)
 
 
 @query
@@ -706,8 +712,9 @@ def pack_epoch(spark, folder):
 @query
 def pack_batches(spark, folder):
     """Packs of a batch as one longer sequence, in the epoch's order."""
-    packs = packing.pack_order(_chat_packs(spark, folder), S.SEED, S.EPOCH)
-    made = packing.batches_of_packs(packs, 4).select("batch_id", *packing.concatenated())
+    rows, plan, placed = _chat_places(spark, folder)
+    position = packing.pack_order(packing.packs(plan).select("pack_id"), S.SEED, S.EPOCH)
+    made = packing.gather_batches(rows, placed, position, 4).select("batch_id", *packing.concatenated())
     return made.agg(
         F.sum(F.size("input_ids")).alias("n_ids"),
         (F.max("batch_id") + 1 == F.count("*")).alias("batches_numbered"),

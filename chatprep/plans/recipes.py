@@ -88,7 +88,7 @@ def custom(df: DataFrame, function, schema, arrow: bool = False, **kwargs) -> Da
     return (df.mapInArrow if arrow else df.mapInPandas)(run, schema)
 
 
-def encoded(measured: DataFrame, vocab: DataFrame) -> DataFrame:
+def encoded(measured: DataFrame, vocab: DataFrame, unknown: int | None = None) -> DataFrame:
     """The declared output of the map stage: keys, image references, ids, length."""
     rows = guards.kept(measured).drop("text", "n_placeholders", "n_images", "reason")
-    return encode(rows, vocab)
+    return encode(rows, vocab, unknown=unknown)

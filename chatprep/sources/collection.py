@@ -13,20 +13,15 @@ from pyspark.sql import functions as F
 ROWS_PER_SOURCE = 1 << 40
 
 
-# A table with less than this per core is too small to be read in parallel.
-_SMALL_PER_CORE = 16 << 20
-
-
-def spread(df: DataFrame, path: str, *keys: str) -> DataFrame:
-    """A small table lies in few row groups, so few tasks would do all the work on
-    it: its rows are dealt out by ``keys``. A large table is left as it lies."""
-    spark = df.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    cores = spark.sparkContext.defaultParallelism
-    if files.getContentSummary(place).getLength() >= cores * _SMALL_PER_CORE:
-        return df
-    return df.repartition(cores, *keys)
+# Session setting for tables that lie in fewer row groups than there are cores: the
+# number of tasks to deal their rows out to. Unset, tables are read where they lie.
+DEAL_OUT = "spark.chatprep.dealOut"
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, dealt out by ``keys`` if the session asks for it, whatever its size."""
+    parts = df.sparkSession.conf.get(DEAL_OUT, None)
+    return df.repartition(int(parts), *keys) if parts else df
 
 
 @dataclass(frozen=True)

@@ -20,13 +20,13 @@ LIMITS = {
 SPLITS = {"train": ["train"], "valid": ["validation", "train"], "test": ["test"]}
 
 
-# Columns by which the rows of a small table are dealt out to tasks.
+# Columns by which the rows of a table are dealt out to tasks, where a session asks for it.
 _DEAL_BY = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}.parquet"
-    return spread(spark.read.parquet(path), path, *_DEAL_BY[name])
+    return spread(spark.read.parquet(path), *_DEAL_BY[name])
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,15 +72,6 @@ def chat(spark: SparkSession, folder: str) -> DataFrame:
     return with_images(chat_from_turns(turns(spark, folder)))
 
 
-def sized_chat(spark: SparkSession, folder: str) -> DataFrame:
-    conv = F.col("conv_id")
-    size = F.struct(
-        (F.lit(224) + conv % 4 * 112).cast("int").alias("height"),
-        (F.lit(224) + conv % 5 * 112).cast("int").alias("width"),
-    )
-    return chat(spark, folder).withColumn("image_size", size)
-
-
 def split_of(doc_id):
     return F.when(doc_id % 10 == 8, "validation").when(doc_id % 10 == 9, "test").otherwise("train")
 

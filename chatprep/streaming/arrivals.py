@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from chatprep.operators import guards
+from chatprep.operators import guards, vocab as words
 from chatprep.operators.roles import within
 from chatprep.plans import recipes
 from chatprep.settings import ChatTokens
@@ -24,7 +24,7 @@ def arriving(spark: SparkSession, folder: str, schema: StructType, files_per_bat
 
 
 def measured(rows: DataFrame, recipe: str, tokens: ChatTokens, max_length: int) -> DataFrame:
-    return guards.kept(recipes.apply(rows, recipe, tokens)).filter(within(max_length))
+    return guards.kept(guards.settled(recipes.apply(rows, recipe, tokens))).filter(within(max_length))
 
 
 def write_measured(
@@ -45,10 +45,11 @@ def write_encoded(
 ):
     """As ``write_measured`` with token ids. A repeated micro-batch overwrites its
     own folder, so a restart leaves no duplicates."""
+    unknown = words.unknown_id(vocab)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        recipes.encoded(batch, vocab).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        recipes.encoded(batch, vocab, unknown).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         batch.unpersist()
 
     return (

@@ -24,15 +24,15 @@ def plain_ranks(rows, key):
 
 def test_latest_first_across_buckets(spark):
     df, rows = table(spark)
-    for per_bucket in (10, 100, 10_000):
-        order = ordering.latest_first(df, rows_per_bucket=per_bucket)
+    for buckets in (300, 30, 1):
+        order = ordering.latest_first(df, buckets=buckets)
         got = {r["row_id"]: r["rank"] for r in ordering.ranked(df, ["length"], order).collect()}
         assert got == plain_ranks(rows, lambda r: -r[0])
 
 
 def test_buckets_hold_an_even_share(spark):
     df, rows = table(spark)
-    order = ordering.latest_first(df, rows_per_bucket=100)
+    order = ordering.latest_first(df, buckets=30)
     sizes = [r["n"] for r in df.groupBy(order.bucket.alias("b")).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 30 and max(sizes) < 200
 

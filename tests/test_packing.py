@@ -80,8 +80,8 @@ def place(spark, lengths, max_len, limit, order=None, **kw):
 
 @pytest.mark.parametrize("lengths, limit, packs, rows", GOLDENS)
 def test_golden_rows(spark, lengths, limit, packs, rows):
-    for per_bucket in (1, 1000):
-        _, placed = place(spark, lengths, 10, limit, rows_per_bucket=per_bucket)
+    for buckets in (8, 1):
+        _, placed = place(spark, lengths, 10, limit, buckets=buckets)
         made = packing.collect_packs(placed).orderBy("pack_id").collect()
         assert [[m["row_id"] for m in r["members"]] for r in made] == rows
         assert [[m["length"] for m in r["members"]] for r in made] == packs

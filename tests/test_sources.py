@@ -193,7 +193,8 @@ def test_sums_over_turns_equal_whole_conversations(spark, small, max_length):
 def test_bad_turn_drops_its_conversation(spark):
     rows = [(1, 0, "user", '"a"'), (1, 1, "assistant", "broken"), (2, 0, "user", '"b"')]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, content string")
-    made = packed.fitting_conversations(turns, F.lit(None).cast("array<string>"), TOKENS, 100).collect()
+    none = F.lit(None).cast("array<string>")
+    made = packed.fitting_conversations(turns, none, TOKENS, 100).collect()
     assert [r["row_id"] for r in made] == [2]
     assert render.conversation_sizes(render.render_turns(turns, TOKENS)).filter("bad").count() == 1
 
@@ -212,3 +213,33 @@ def test_hot_conversation_is_dropped_before_assembly(spark):
     everything = sizes.select("conv_id", "length", "image_refs")
     # Even when asked for everything, the heavy one is gone before the join.
     assert render.assemble(pieces, everything, heavy, TOKENS).count() == 40
+
+
+def test_hot_conversation_of_unusable_turns_is_dropped(spark):
+    """It has no length at all, and still goes before its turns are put together."""
+    hot = spark.range(5000).selectExpr("7L conv_id", "id turn", "'user' role", "'broken' content")
+    cold = spark.range(40).selectExpr("100 + id conv_id", "0L turn", "'user' role", "'\"a\"' content")
+    turns, none = hot.unionByName(cold), F.lit(None).cast("array<string>")
+    assert packed.fitting_conversations(turns, none, TOKENS, 100).count() == 40
+    sizes = packed.judged_conversations(render.render_turns(turns, TOKENS), none)
+    assert [tuple(r) for r in sizes.filter("reason IS NOT NULL").select("conv_id", "length", "n_turns").collect()] == [(7, None, 5000)]
+
+
+def test_rows_are_rendered_once(spark, small):
+    """The filter reads the row that was made; it does not hold the rendering again."""
+    rows = fixtures.chat(spark, small)
+    plan = arrivals.measured(rows, "chat", TOKENS, 700)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any(TOKENS.image in line for line in filters)
+    assert plan.count("Generate inline") == 1
+
+
+def test_plan_does_not_depend_on_size(spark, small):
+    from chatprep.plans import queries
+
+    for name in ("rank_in_length", "fixed_batches"):
+        shapes = []
+        for folder in (small, small.replace("sf0.001", "sf0.01")):
+            plan = queries.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+            shapes.append([line.strip(" :+-").split(" ")[0] for line in plan.splitlines()])
+        assert shapes[0] == shapes[1]

@@ -67,11 +67,12 @@ def test_vocabulary_order(spark):
     ]
 
 
-@pytest.mark.parametrize("broadcast_tokens", [1_000_000, 3, 0])
-def test_encoding_with_small_and_large_vocabulary(spark, monkeypatch, broadcast_tokens):
-    """Above the broadcast bound the rare tokens take the other way, same ids."""
+@pytest.mark.parametrize("common", [1_000_000, 3, 0])
+def test_encoding_with_small_and_large_vocabulary(spark, monkeypatch, common):
+    """Tokens that are not broadcast come back by the join, same ids."""
     words = vocab.build_vocab(corpus(spark), ["<unk>", "<bos>"])
-    monkeypatch.setattr(vocab, "BROADCAST_TOKENS", broadcast_tokens)
+    monkeypatch.setattr(vocab, "COMMON_TOKENS", common)
+    monkeypatch.setattr(vocab, "TOP_TOKENS", min(common, 1))
     extra = spark.createDataFrame([(9, ["new", "a", "new"], "kept")], "row_id bigint, tokens array<string>, note string")
     rows = corpus(spark).unionByName(extra, allowMissingColumns=True)
     got = {r["row_id"]: (r["input_ids"], r["note"]) for r in vocab.encode(rows, words).collect()}
