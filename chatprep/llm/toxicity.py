@@ -30,7 +30,7 @@ BEGINNINGS = (4, 5, 6, 7)
 LEAST_EXCESS = 6.0
 STEPS = 200
 RATE = 0.1
-PENALTY = 1e-4
+PENALTY = 1e-5
 SENTENCE_ENDS = ".!?\n"
 
 
