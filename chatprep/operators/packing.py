@@ -136,6 +136,21 @@ def strategies(df: DataFrame, max_len: int, limit: int, by: Sequence[str] = ())
     return length_counts(df, by).groupBy(*by).applyInPandas(pack, schema)
 
 
+def needless(plan: DataFrame, max_len: int, limit: int, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, needless)``: strategies whose first sequence would have fitted into a pack that
+    was open before. A pack is opened by its longest sequence and its room only shrinks, so
+    a strategy with a longer first member, fewer members than ``limit`` and final room for
+    the sequence was open then. 0 for ``strategies``; reads the plan, not the rows."""
+    total = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    room = F.when(F.size("lengths") < limit, F.lit(max_len) - total)
+    firsts = plan.select(*by, F.get("lengths", F.lit(0)).alias("first"), room.alias("room"))
+    # One row for each first length, at most max_len of a group.
+    widest = firsts.groupBy(*by, "first").agg(F.count("*").alias("n"), F.max("room").alias("room"))
+    before = W.partitionBy(*by).orderBy(F.col("first").desc()).rowsBetween(W.unboundedPreceding, -1)
+    fits = F.max("room").over(before) >= F.col("first")
+    return widest.withColumn("fits", fits).groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("fits"), F.col("n"))), F.lit(0).cast("long")).alias("needless"))
+
+
 def _places(plan: DataFrame) -> DataFrame:
     """One row per slot of a strategy, with the slot's offsets in the pack."""
     upto = lambda k: F.aggregate(F.slice("lengths", 1, k), F.lit(0), lambda a, x: a + x)

@@ -113,6 +113,17 @@ def check(
     return df.agg(*aggs)
 
 
+def require(
+    df: DataFrame, response: Sequence, instruction: Sequence | None, bos, eos, ids: str = "input_ids"
+) -> None:
+    """Raises if a row lacks a template or mark. One pass; an empty table lacks nothing."""
+    found = check(df, response, instruction, bos, eos, ids).first().asDict()
+    rows = found.pop("n_rows")
+    lacking = {name: n for name, n in found.items() if n}
+    if lacking:
+        raise ValueError(f"of {rows} rows: {lacking}")
+
+
 def add_labels(df: DataFrame, response: Sequence, instruction: Sequence | None, ids: str = "input_ids") -> DataFrame:
     """Adds ``labels``: ids in responses, the ignore label elsewhere. Template
     positions become columns first, so each row is searched once per template and

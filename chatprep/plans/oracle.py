@@ -407,7 +407,7 @@ SELECT position // {S.BATCH_SIZE} AS batch_id, {_join('id', 'position, pos')} AS
 FROM encoded JOIN ordered USING (row_id) GROUP BY ALL""",
     "pack_strategies": f"""WITH {_TRAINABLE}
 SELECT count(*) AS n_sequences, sum(length)::BIGINT AS n_tokens, 0::BIGINT AS over_budget, 0::BIGINT AS over_limit,
-  0::BIGINT AS empty_strategies, true AS enough_packs, 0::BIGINT AS wrong_lengths FROM trainable""",
+  0::BIGINT AS empty_strategies, true AS enough_packs, 0::BIGINT AS needless, 0::BIGINT AS wrong_lengths FROM trainable""",
     "pack_slots": f"""WITH {_TRAINABLE}
 SELECT count(*) AS n_slots, true AS packs_numbered, sum(length)::BIGINT AS n_tokens, 0::BIGINT AS over_budget,
   0::BIGINT AS over_limit, 0::BIGINT AS wrong_lengths FROM trainable""",
@@ -445,3 +445,33 @@ ORACLE_SQL["load_split_ids"] = f"""
 SELECT s AS role, s AS split, row_id AS doc_id, length, length AS n_ids
 FROM ({ORACLE_SQL["recipe_caption"]}), (VALUES ('train'), ('test')) v(s)
 WHERE reason IS NULL AND (s <> 'train' OR length <= {S.MAX_LENGTH})"""
+
+ORACLE_SQL["attach_image_sizes"] = """WITH referred AS (
+  SELECT doc_id AS row_id, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 7 = 1 THEN NULL ELSE doc_id END AS k FROM documents)
+SELECT row_id, CASE WHEN k % 5 <> 4 THEN (224 + k % 4)::INTEGER END AS height,
+  CASE WHEN k % 5 <> 4 THEN (224 + k % 5)::INTEGER END AS width
+FROM referred"""
+
+_ENDS = f"count(*) AS a, CASE WHEN min(length) = max(length) THEN 1 ELSE {S.BINS} END::BIGINT AS b"
+ORACLE_SQL["prepared_reports"] = f"""WITH lengths AS (
+  SELECT row_id, source, split, length FROM ({ORACLE_SQL["recipe_caption"]}) WHERE reason IS NULL),
+limits(source, split, max_rows) AS (VALUES {_LIMIT_ROWS}),
+pool AS (
+  SELECT * FROM (
+    SELECT l.*, max_rows, row_number() OVER (
+      PARTITION BY source, split ORDER BY md5('{S.SEED}:' || row_id), row_id) AS nth
+    FROM lengths l LEFT JOIN limits USING (source, split))
+  WHERE max_rows IS NULL OR nth <= max_rows),
+{_ROUTED},
+longest AS (
+  SELECT *, row_number() OVER (PARTITION BY source, split ORDER BY length DESC, row_id) AS place
+  FROM fitting),
+sizes AS (SELECT source, split, count(*) AS n FROM lengths GROUP BY ALL)
+SELECT 'warnings' AS report, source || '/' || split AS place, n AS a, max_rows::BIGINT AS b
+FROM sizes JOIN limits USING (source, split) WHERE n <= max_rows
+UNION ALL SELECT 'histogram', source || '/' || split, {_ENDS} FROM pool GROUP BY source, split
+UNION ALL SELECT 'longest', source || '/' || split, sum(length)::BIGINT, sum(row_id)::BIGINT
+FROM longest WHERE place <= {S.TOP_LENGTHS} GROUP BY source, split
+UNION ALL SELECT 'sizes', source || '/' || split, any_value(n), count(f.row_id)
+FROM sizes LEFT JOIN fitting f USING (source, split) GROUP BY source, split
+UNION ALL SELECT 'role_histogram', role, {_ENDS} FROM routed GROUP BY role"""

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatprep.operators import guards, roles, vocab
+from chatprep.operators import guards, profile, roles, vocab
 from chatprep.plans import recipes
 from chatprep.settings import ChatTokens
+from chatprep.sources.collection import check_identity
 from chatprep.sources.stages import scratch, stage
 
 
@@ -19,16 +19,19 @@ class Prepared(NamedTuple):
     rows: DataFrame
     refused: DataFrame
     vocabulary: DataFrame
+    reports: Mapping[str, DataFrame]
 
 
-def check_identity(rows: DataFrame, key: Sequence[str]) -> None:
-    """Raises if a key is null or names several rows: their contents would be mixed."""
-    bad = rows.groupBy(*key).count().filter(
-        (F.col("count") > 1) | reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key])
-    )
-    found = bad.limit(3).collect()
-    if found:
-        raise ValueError(f"rows are not told apart by {', '.join(key)}: {[r.asDict() for r in found]}")
+def _reports(kept: DataFrame, taken: DataFrame, routed: DataFrame, limits, max_length: int, train, seed: int) -> dict[str, DataFrame]:
+    """What a run tells about itself. Each is computed when it is read, from the stored
+    stages' columns of keys and lengths alone."""
+    return {
+        "warnings": roles.truncate_warnings(kept, limits),
+        "histogram": profile.histogram(taken, roles.PLACE),
+        "longest": roles.top_lengths(taken, max_length, train),
+        "sizes": roles.size_report(kept, max_length, train, limits, seed),
+        "role_histogram": profile.histogram(routed, ["role"]),
+    }
 
 
 def prepare(
@@ -43,9 +46,15 @@ def prepare(
     seed: int = 0,
     cache_dir: str | None = None,
     inputs: Sequence[str] = (),
+    response: Sequence[str] | None = None,
+    instruction: Sequence[str] | None = None,
 ) -> Prepared:
     """Role rows with ``input_ids`` and ``length``, the refused rows with their
-    reason, and the vocabulary of all rows that were not refused.
+    reason, the vocabulary of all rows that were not refused, and reports: limits without
+    effect, lengths after truncation and by role, the longest rows, sizes before and after.
+    With a ``response`` template, given as its tokens, rows that are not refused must hold
+    it, the ``instruction`` template if there is one, and the begin and end marks; a row
+    that does not is an error.
 
     The map stage is stored: everything after it reads single columns (key,
     length, reason), so truncation and filter never render a text again, and the
@@ -70,9 +79,14 @@ def prepare(
     key = [c for c in ("source", "split", "row_id") if c in mapped.columns]
     check_identity(mapped, key)
     kept = guards.kept(mapped).drop("text", "n_placeholders", "n_images", "reason")
+    if response:
+        vocab.require(kept, response, instruction, tokens.bos, tokens.eos, "tokens")
     words = store(vocab.build_vocab(kept, tokens.specials), "words", mapping)
     train = splits.get("train", ()) if "train" in do else ()
-    drawn = roles.length_filter(roles.truncate(kept, limits, seed), max_length, train)
+    taken = roles.truncate(kept, limits, seed)
+    drawn = roles.length_filter(taken, max_length, train)
     wanted = {s for role in do for s in splits.get(role, ())}
     ids = store(vocab.encode(drawn.filter(drawn["split"].isin(*wanted)), words, key), "filter", mapping | routing)
-    return Prepared(roles.route(ids, splits, max_length, do), guards.rejects(mapped), words)
+    routed = roles.route(ids, splits, max_length, do)
+    reports = _reports(kept, taken, routed, limits, max_length, train, seed)
+    return Prepared(routed, guards.rejects(mapped), words, reports)

@@ -7,6 +7,7 @@ sums are cast where engines differ in width.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -269,6 +270,24 @@ def recipe_chat_sized(spark, folder):
     return _recipe_result(rows, *_area(rows))
 
 
+@query
+def attach_image_sizes(spark, folder):
+    """Captions with the size of their first image, from a table of sizes; some images
+    have none there, a third of all rows share one image, and some have no image."""
+    rows = fixtures.captions(spark, folder)
+    shared = F.when(F.col("row_id") % 3 == 0, F.array(F.lit("doc-shared")))
+    none = F.when(F.col("row_id") % 7 == 1, F.array().cast("array<string>"))
+    rows = rows.withColumn("image_refs", F.coalesce(shared, none, F.col("image_refs"))).select("row_id", "image_refs")
+    number = F.regexp_extract("image_ref", "[0-9]+", 0).try_cast("int")
+    sizes = (
+        rows.select(F.explode("image_refs").alias("image_ref")).distinct()
+        .withColumn("k", F.coalesce(number, F.lit(0))).filter("k % 5 != 4")
+        .select("image_ref", F.struct((F.col("k") % 4 + 224).alias("height"), (F.col("k") % 5 + 224).alias("width")).alias("image_size"))
+    )
+    made = collection.attach_sizes(rows, scratch(sizes, "sizes"))
+    return made.select("row_id", *_area(made))
+
+
 @query
 def recipe_chat_sized_raw(spark, folder):
     rows = recipes.apply(_mixed_chat(spark, folder), "chat_sized_raw", S.TOKENS)
@@ -411,6 +430,29 @@ def prepared_roles(spark, folder):
     )
 
 
+@query
+def prepared_reports(spark, folder):
+    """The reports of a whole run, with the templates required."""
+    made = prepare(
+        fixtures.captions(spark, folder), "caption", S.TOKENS, splits=SPLITS, max_length=S.MAX_LENGTH,
+        limits=LIMITS, seed=S.SEED, response=S.RESPONSE_TEMPLATE, instruction=S.INSTRUCTION_TEMPLATE,
+    )
+    said = made.reports
+    told = lambda name, place, a, b: said[name].groupBy(place.alias("place")).agg(a.alias("a"), b.alias("b")).withColumn("report", F.lit(name))
+    place = F.concat_ws("/", "source", "split")
+    one = lambda c: F.sum(c).cast("long")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            told("warnings", place, one("n_rows"), one("max_rows")),
+            told("histogram", place, one("n"), F.count("*")),
+            told("longest", place, one("length"), one("row_id")),
+            told("sizes", place, one("n_before"), one("n_after")),
+            told("role_histogram", F.col("role"), one("n"), F.count("*")),
+        ],
+    ).select("report", "place", "a", "b")
+
+
 @query
 def load_split_ids(spark, folder):
     """Two splits of one source that count their rows alike, through all steps."""
@@ -560,7 +602,8 @@ def pack_strategies(spark, folder):
         (F.sum("n") * S.MAX_LENGTH >= F.sum(F.col("n") * F.col("t"))).alias("enough_packs"),
     )
     counted = plan.select("n", F.explode("lengths").alias("length")).groupBy("length").agg(F.sum("n").alias("n"))
-    return _beside(facts, _wrong_length_counts(rows, counted))
+    sparing = packing.needless(plan, S.MAX_LENGTH, S.PACK_LIMIT)
+    return _beside(_beside(facts, sparing), _wrong_length_counts(rows, counted))
 
 
 @query

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatprep.functions.images import first_image
+
 # Own ids of one path lie from 0 to below this; others are refused with an error.
 ROWS_PER_SOURCE = 1 << 40
 
@@ -103,6 +105,32 @@ def load(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def check_identity(rows: DataFrame, key: Sequence[str]) -> None:
+    """Raises if a key is null or names several rows: their contents would be mixed."""
+    bad = rows.groupBy(*key).count().filter(
+        (F.col("count") > 1) | reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key])
+    )
+    found = bad.limit(3).collect()
+    if found:
+        raise ValueError(f"rows are not told apart by {', '.join(key)}: {[r.asDict() for r in found]}")
+
+
+def attach_sizes(df: DataFrame, sizes: DataFrame, key: str = "row_id") -> DataFrame:
+    """``df`` with ``image_size`` of each row's first reference in ``image_refs``; null for
+    rows without one and for references that ``sizes`` ``(image_ref, image_size)`` does not
+    hold. ``sizes`` has to name each reference once.
+
+    Rows without an image meet nothing and are spread by ``key`` instead of meeting in one
+    task. Neither side is aggregated on the way, so AQE can split a common reference.
+    """
+    check_identity(sizes, ["image_ref"])
+    known = sizes.select(F.struct(F.lit(True), "image_ref").alias("__ref"), "image_size")
+    first = first_image(F.col("image_refs"))
+    apart = F.struct(F.lit(False), F.coalesce(F.xxhash64(key).cast("string"), F.lit("")))
+    ref = F.when(first.isNotNull(), F.struct(F.lit(True), first)).otherwise(apart)
+    return df.withColumn("__ref", ref).join(known, "__ref", "left").drop("__ref")
+
+
 def image_sizes(spark: SparkSession, path: str) -> DataFrame:
     """``(image_ref, image_size)`` of image files, read by Spark's image source."""
     return (

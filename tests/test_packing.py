@@ -72,6 +72,16 @@ def test_histogram_equals_one_by_one(lengths, limit):
     assert len(plan) <= len(set(lengths))
 
 
+def test_needless_packs_are_counted(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, i % 2, rng.randint(1, 20)) for i in range(300)], "row_id bigint, g int, length int")
+    for limit in (1, 2, 4):
+        plan = packing.strategies(df, 20, limit, ["g"])
+        assert {r["needless"] for r in packing.needless(plan, 20, limit, ["g"]).collect()} == {0}
+    alone = packing.strategies(df, 20, 1, ["g"])
+    assert all(r["needless"] > 0 for r in packing.needless(alone, 20, 4, ["g"]).collect())
+
+
 def place(spark, lengths, max_len, limit, order=None, **kw):
     df = spark.createDataFrame(list(enumerate(lengths)), "row_id bigint, length int")
     plan = packing.strategies(df, max_len, limit)

@@ -54,6 +54,28 @@ def test_image_sizes(spark, tmp_path):
     assert (r["image_size"]["height"], r["image_size"]["width"]) == (3, 5) and r["image_ref"].endswith("a.png")
 
 
+def test_attach_sizes(spark):
+    rows = [(1, ["a", "b"]), (2, ["b"]), (3, []), (4, None), (5, ["a"]), (5, ["gone"]), (None, None), (None, ["a"])]
+    df = spark.createDataFrame(rows, "row_id bigint, image_refs array<string>")
+    sizes = spark.createDataFrame([("a", (3, 5)), ("b", (7, 9))], "image_ref string, image_size struct<height:int,width:int>")
+    made = collection.attach_sizes(df, sizes)
+    assert made.columns == ["row_id", "image_refs", "image_size"]
+    got = sorted((r["row_id"] or 0, r["image_refs"] or [], r["image_size"] and r["image_size"]["height"]) for r in made.collect())
+    assert got == [(0, [], None), (0, ["a"], 3), (1, ["a", "b"], 3), (2, ["b"], 7), (3, [], None), (4, [], None), (5, ["a"], 3), (5, ["gone"], None)]
+    with pytest.raises(ValueError, match="not told apart"):
+        collection.attach_sizes(df, sizes.union(sizes))
+
+
+def test_gate_raises(spark, small):
+    raw = fixtures.captions(spark, small)
+    run = lambda **more: prepare(raw, "caption", TOKENS, splits=fixtures.SPLITS, max_length=500, **more)
+    with pytest.raises(ValueError, match="missing_response"):
+        run(response=["###", "Nobody:"])
+    with pytest.raises(ValueError, match="missing_instruction"):
+        run(response=["###", "Assistant:"], instruction=["###", "Nobody:"])
+    assert run(response=["###", "Assistant:"]).rows.count()
+
+
 def test_stage_is_reused_by_fingerprint(spark, tmp_path):
     root = str(tmp_path)
     first = spark.range(3).toDF("x")
