@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from chatprep.llm import decontamination, line_dedup, mixing, near_dedup, quality
 from chatprep.sources.stages import scratch
 
+#: Similarity in per cent from which the stage links; ``op4_minhash_near_dedup`` has its own.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the base rules or the isolation forest reject."""
@@ -35,7 +38,7 @@ def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return near_dedup.kept_documents(docs)
+    return near_dedup.kept_documents(docs, percent=NEAR_PERCENT)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

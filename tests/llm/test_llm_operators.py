@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -65,6 +66,23 @@ def test_near_groups_match_brute_force(spark, seed):
     assert len({v for v in wanted.values()}) < len(texts)
 
 
+def test_near_copies_of_the_pipeline_match_brute_force(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(12):
+        origin = [f"w{rng.randrange(4000)}" for _ in range(100)]
+        texts.append((len(texts), " ".join(origin)))
+        for k in (1, 2, 3):  # similarity of about 0.9, 0.82, 0.74
+            places = rng.sample(range(4, 96, 12), k)
+            texts.append((len(texts), " ".join("new" + w if i in places else w for i, w in enumerate(origin))))
+    wanted = {i for i, first in _brute_groups(texts, 80).items() if i == first}
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == wanted
+    at_85 = {i for i, first in _brute_groups(texts, 85).items() if i == first}
+    assert wanted < at_85
+    assert {r.doc_id for r in near_dedup.groups(docs).filter("kept").collect()} == at_85
+
+
 def test_near_plan_has_no_product(spark, small):
     df = near_dedup.groups(spark.read.parquet(f"{small}/documents.parquet"))
     plan = df._jdf.queryExecution().executedPlan().toString()

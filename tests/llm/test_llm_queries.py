@@ -1,5 +1,9 @@
 """The registered queries over the smallest tables."""
 
+import itertools
+import re
+import string
+
 import corpus_pipeline
 import pytest
 from compare import connect, differs
@@ -9,6 +13,8 @@ import __spark_entry__ as entry
 from chatprep.llm.oracle import ORACLE_SQL
 from chatprep.llm.queries import QUERIES
 
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
 
 def test_all_are_registered():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
@@ -75,3 +81,33 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     wanted = con.sql(f"SELECT doc_id FROM ({ORACLE_SQL['op1_mix_sources']})").fetchall()
     assert ids[5] == {i for i, in wanted}
     assert corpus_pipeline.run(spark, folder).count() == len(ids[5])
+
+
+def test_pipeline_near_dedup_from_80(spark, tmp_path):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, kept[-1], folder).write.parquet(f"{tmp_path}/{k}")
+        kept.append(spark.read.parquet(f"{tmp_path}/{k}"))
+    ids = [{r.doc_id for r in k.select("doc_id").collect()} for k in kept]
+    # All pairs of the stage's own input, without sketches.
+    sets = {}
+    for r in kept[2].select("doc_id", "text").collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text.translate(LOWER))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    first = {i: i for i in sets}
+    links = []
+    for (a, x), (b, y) in itertools.combinations(sets.items(), 2):
+        both = len(x & y)
+        if both and 100 * both >= 80 * len(x | y):
+            links.append((a, b))
+    for _ in links:
+        for a, b in links:
+            first[a] = first[b] = min(first[a], first[b])
+    assert ids[3] == {i for i in sets if first[i] == i} and len(ids[3]) < len(sets)
+    con = connect(folder)
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/3/*.parquet'")
+    wanted = con.sql(f"SELECT doc_id FROM ({ORACLE_SQL['op1_mix_sources']})").fetchall()
+    assert ids[5] == {i for i, in wanted}
+    assert corpus_pipeline.run(spark, folder).count() == len(ids[5])
