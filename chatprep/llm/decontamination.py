@@ -3,8 +3,9 @@
 Benchmark items are the stated queries and are taken in blocks of bounded size. For a
 block, every document is read once: windows of ``LEAST`` words that also stand in an
 item are the seeds. Seeds bound how much of an item a document can cover; where that is
-enough, the parts of the document around its seeds and the item are tiled, and the
-share of the item that lies under tiles decides. Passages may stand in any order.
+enough, the parts of the document around its seeds and the item are tiled. The share of
+the item that lies under tiles decides, in whatever order the passages stand, or a single
+tile that is long by itself, however long the item is.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from chatprep.llm.tiling import tiles
 LEAST = 5
 #: Share of an item's words under tiles from which a document is contaminated.
 COVERAGE = 0.5
+#: Words of one tile from which a document is contaminated, whatever the coverage.
+VERBATIM = 20
 #: Bytes of item text in one block.
 BLOCK_BYTES = 4 << 20
 
@@ -47,10 +50,10 @@ class Block:
         order = np.argsort(made, kind="stable")
         return Block([i for i, _ in items], words, bounds, made[order], item[order], (first - bounds[item])[order])
 
-    def found(self, values: list[bytes | None], least_coverage: float) -> Iterator[tuple]:
+    def found(self, values: list[bytes | None], least_coverage: float, verbatim: int) -> Iterator[tuple]:
         """``(text number, item, words of the item, covered words, tiles)`` of each pair
-        whose tiles reach ``least_coverage``; a tile is (first word in the text, first
-        word in the item, words)."""
+        whose tiles reach ``least_coverage`` or have one of ``verbatim`` words; a tile is
+        (first word in the text, first word in the item, words)."""
         if not len(self.seeds):
             return
         words, bounds = word_hashes(values, marks=True)
@@ -70,12 +73,12 @@ class Block:
                 here = items == item
                 pattern = self.words[self.bounds[item] : self.bounds[item + 1]]
                 could = _under(self.place[seed[here]], len(pattern))
-                if could.sum() < least_coverage * len(pattern):
+                if could.sum() < min(least_coverage * len(pattern), verbatim):
                     continue
                 parts, places = _around(words, start[here])
                 matched = tiles(parts, pattern, LEAST)
                 covered = sum(n for _, _, n in matched)
-                if covered >= least_coverage * len(pattern):
+                if covered >= least_coverage * len(pattern) or max((n for _, _, n in matched), default=0) >= verbatim:
                     yield (int(text), self.ids[item], len(pattern), covered,
                            [(int(places[i] - bounds[text]), j, n) for i, j, n in matched])
 
@@ -114,9 +117,10 @@ _TILE = "array<struct<doc_word:bigint,item_word:bigint,words:bigint>>"
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                 item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
+                 item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, verbatim: int = VERBATIM) -> DataFrame:
     """``(doc_id, item_id, item_words, covered_words, coverage, n_tiles, tiles)`` of every
-    document and item of which at least ``coverage`` lies under tiles.
+    document and item of which at least ``coverage`` lies under tiles, or one tile has
+    ``verbatim`` words or more.
 
     Words are runs of letters and digits, A-Z as a-z. Null and empty texts and items of
     fewer than ``LEAST`` words match nothing. Repeated documents and items each give
@@ -134,7 +138,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", t
     def of_block(block: Block) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, values in slices(batches, "text"):
-                found = list(block.found(values, coverage))
+                found = list(block.found(values, coverage, verbatim))
                 arrow = part.schema.field("doc_id").type
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -164,8 +168,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", t
 
 
 def clean(docs: DataFrame, items: DataFrame, text_column: str = "text", item_id: str = "item_id",
-          item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that cover no item. Rows are judged
+          item_text: str = "text", coverage: float = COVERAGE, verbatim: int = VERBATIM) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item as above. Rows are judged
     by their own text, so repeated rows stay or go together; null texts stay."""
     place = docs.columns.index(text_column)
 
@@ -174,7 +178,7 @@ def clean(docs: DataFrame, items: DataFrame, text_column: str = "text", item_id:
             for batch in batches:
                 for part, values in slices([batch], place):
                     stays = np.ones(len(values), bool)
-                    stays[[f[0] for f in block.found(values, coverage)]] = False
+                    stays[[f[0] for f in block.found(values, coverage, verbatim)]] = False
                     yield part.filter(pa.array(stays))
 
         return rows.mapInArrow(run, docs.schema)

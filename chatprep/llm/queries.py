@@ -31,7 +31,7 @@ def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that hold half of a benchmark item or more, with their tiles."""
+    """Documents that hold half of a benchmark item or a long part of it, with their tiles."""
     return decontamination.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 

@@ -150,6 +150,18 @@ def test_contaminated_matches_brute_force(spark):
     assert {(r.doc_id, r.item_id): r.covered_words for r in found} == wanted and len(wanted) > 10
 
 
+def test_long_quotes_contaminate_whatever_the_item(spark):
+    items = [(i, [f"t{i}x{k}" for k in range(n)]) for i, n in enumerate((59, 200, 200, 200))]
+    quote = lambda i, a, b: " ".join(["before", *items[i][1][a:b], "after"])
+    scattered = " ".join(quote(2, a, a + 12) for a in (0, 40, 80))
+    texts = [quote(0, 10, 39), quote(1, 100, 190), scattered, quote(3, 5, 24), quote(3, 5, 25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    found = decontamination.contaminated(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id, r.covered_words) for r in found} == {(0, 0, 29), (1, 1, 90), (4, 3, 20)}
+    assert sorted(r.doc_id for r in decontamination.clean(docs, benchmark).collect()) == [2, 3]
+
+
 def test_blocks_cover_all_items(spark):
     items = spark.createDataFrame([(i, f"item number {i} has several words") for i in range(50)], "item_id bigint, text string")
     made = list(decontamination.blocks(items, block_bytes=200))
