@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Benchmark items are the stated queries and are taken in blocks of bounded size. For a
-block, every document is read once: windows of ``LEAST`` words that also stand in an
+Benchmark items are the stated queries and are taken in blocks of bounded size. What a
+block finds is stored before the next one is drawn, so neither the driver nor a plan ever
+holds more than one. For a block, every document is read once: windows of ``LEAST`` words that also stand in an
 item are the seeds. Seeds bound how much of an item a document can cover; where that is
 enough, the parts of the document around its seeds and the item are tiled. The share of
 the item that lies under tiles decides, in whatever order the passages stand, or a single
@@ -10,17 +11,18 @@ tile that is long by itself, however long the item is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatprep.llm.hashing import slices, windows, word_hashes
 from chatprep.llm.tiling import tiles
+from chatprep.sources.stages import scratch_path
 
 #: Words of the shortest tile.
 LEAST = 5
@@ -113,11 +115,23 @@ def blocks(items: DataFrame, id_column: str = "item_id", text_column: str = "tex
         yield Block.of(held)
 
 
+def _stored(made: Iterator[Block], found: Callable[[Block], DataFrame], schema: T.StructType,
+            spark: SparkSession, label: str) -> DataFrame:
+    """What ``found`` gives for all blocks, as one table; each block goes before the next is drawn."""
+    path, written = scratch_path(spark, label), False
+    for block in made:
+        found(block).write.mode("append").parquet(path)
+        written = True
+        del block
+    return spark.read.schema(schema).parquet(path) if written else spark.createDataFrame([], schema)
+
+
 _TILE = "array<struct<doc_word:bigint,item_word:bigint,words:bigint>>"
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                 item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, verbatim: int = VERBATIM) -> DataFrame:
+                 item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, verbatim: int = VERBATIM,
+                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, item_id, item_words, covered_words, coverage, n_tiles, tiles)`` of every
     document and item of which at least ``coverage`` lies under tiles, or one tile has
     ``verbatim`` words or more.
@@ -161,28 +175,36 @@ def contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", t
 
         return narrow.mapInArrow(made, schema)
 
-    out = None
-    for block in blocks(items, item_id, item_text):
-        out = of_block(block) if out is None else out.unionByName(of_block(block))
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return _stored(blocks(items, item_id, item_text, block_bytes), of_block, schema, docs.sparkSession, "decontamination-found")
+
+
+def _row_keys(docs: DataFrame, text_column: str) -> list[Column]:
+    """Two hashes of a row; rows of different text differ, null or not. Ids and the like count
+    as well, so that copies of a text do not meet in one place."""
+    text = F.col(f"`{text_column}`")
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields
+              if f.name != text_column and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return [F.xxhash64(F.lit(seed), text.isNull(), text, *others).alias(f"k{seed}") for seed in (1, 2)]
 
 
 def clean(docs: DataFrame, items: DataFrame, text_column: str = "text", item_id: str = "item_id",
-          item_text: str = "text", coverage: float = COVERAGE, verbatim: int = VERBATIM) -> DataFrame:
+          item_text: str = "text", coverage: float = COVERAGE, verbatim: int = VERBATIM,
+          block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item as above. Rows are judged
     by their own text, so repeated rows stay or go together; null texts stay."""
-    place = docs.columns.index(text_column)
+    narrow = docs.select(*_row_keys(docs, text_column), F.col(f"`{text_column}`").cast("binary").alias("text"))
+    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())])
 
-    def without(rows: DataFrame, block: Block) -> DataFrame:
+    def of_block(block: Block) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, values in slices([batch], place):
-                    stays = np.ones(len(values), bool)
-                    stays[[f[0] for f in block.found(values, coverage, verbatim)]] = False
-                    yield part.filter(pa.array(stays))
+            for part, values in slices(batches, "text"):
+                goes = np.zeros(len(values), bool)
+                goes[[f[0] for f in block.found(values, coverage, verbatim)]] = True
+                yield part.select(["k1", "k2"]).filter(pa.array(goes))
 
-        return rows.mapInArrow(run, docs.schema)
+        return narrow.mapInArrow(run, schema)
 
-    for block in blocks(items, item_id, item_text):
-        docs = without(docs, block)
-    return docs
+    gone = _stored(blocks(items, item_id, item_text, block_bytes), of_block, schema, docs.sparkSession, "decontamination-gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_row_keys(docs, text_column))
+    stay = rows.join(gone, ["k1", "k2"], "left_anti")
+    return stay.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -62,6 +62,13 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder for a scratch table that is written in parts."""
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _scopes[-1].append(path)
+    return path
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> int:
     conf = spark._jsc.hadoopConfiguration()
     count = len(paths)

@@ -168,6 +168,40 @@ def test_blocks_cover_all_items(spark):
     assert len(made) > 5 and sorted(i for b in made for i in b.ids) == list(range(50))
 
 
+def test_blocks_go_before_the_next_is_drawn(spark, monkeypatch):
+    import gc
+    import weakref
+
+    items = [(i, " ".join(f"b{i}x{k}" for k in range(12))) for i in range(24)]
+    texts = [(d, items[d][1] if d % 3 == 0 else f"free text number {d} of this table") for d in range(24)] + [(0, items[0][1]), (99, None)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    alive, most, drawn = [], [], decontamination.blocks
+
+    def watched(*args):
+        made = drawn(*args)
+        while True:
+            gc.collect()
+            most.append(sum(ref() is not None for ref in alive))
+            held = [block for block in [next(made, None)] if block]
+            if not held:
+                return
+            alive.append(weakref.ref(held[0]))
+            yield held.pop()
+
+    monkeypatch.setattr(decontamination, "blocks", watched)
+    bad = sorted((d, d) for d in (*range(0, 24, 3), 0))
+    found = decontamination.contaminated(docs, benchmark, block_bytes=300)
+    assert len(alive) > 5 and max(most) == 0
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == bad
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    alive.clear(), most.clear()
+    kept = decontamination.clean(docs, benchmark, block_bytes=300)
+    assert len(alive) > 5 and max(most) == 0
+    assert sorted(r.doc_id for r in kept.collect()) == [d for d in range(24) if d % 3] + [99]
+    assert "MapInArrow" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_quality_counts_match_brute_force(spark, small):
     rows = spark.read.parquet(f"{small}/documents.parquet").select("text").collect()
     texts = [r.text for r in rows] + ["a b c a b c", "#x\n\n#x\n y", "", "É É É É"]
