@@ -3,7 +3,9 @@
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-OP4 = f"""
+def near_dedup_sql(percent: int) -> str:
+    """Groups of documents whose sets are linked from ``percent`` on."""
+    return f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{WORD}') AS w FROM documents
 ), shingles AS (
@@ -16,7 +18,7 @@ pairs AS (
   FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
 ), links AS (
   SELECT p.a, p.b FROM pairs p JOIN sizes x ON x.doc_id = p.a JOIN sizes y ON y.doc_id = p.b
-  WHERE 100 * k >= 85 * (x.n + y.n - k)
+  WHERE 100 * k >= {percent} * (x.n + y.n - k)
 ), reach AS (
   SELECT a AS doc_id, b AS other FROM links
   UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
@@ -27,6 +29,9 @@ FROM documents d LEFT JOIN sizes USING (doc_id)
 LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY 1) USING (doc_id)
 """
 
+
+OP4 = near_dedup_sql(85)
+
 _TRIMMED = r"trim(l, ' ' || chr(9) || chr(13) || chr(11) || chr(12))"
 
 OP8 = f"""

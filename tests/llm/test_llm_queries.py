@@ -10,7 +10,7 @@ from compare import connect, differs
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from chatprep.llm.oracle import ORACLE_SQL
+from chatprep.llm.oracle import ORACLE_SQL, near_dedup_sql
 from chatprep.llm.queries import QUERIES
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -75,7 +75,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert {r.doc_id: r.text for r in kept[2].collect()} == {i: wanted[i] for i in ids[2]}
     assert all(not wanted[i].strip() for i in ids[1] - ids[2])
     con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/1/*.parquet'")
-    wanted = con.sql(f"SELECT doc_id FROM ({ORACLE_SQL['op4_minhash_near_dedup']}) WHERE kept").fetchall()
+    wanted = con.sql(f"SELECT doc_id FROM ({near_dedup_sql(corpus_pipeline.NEAR_PERCENT)}) WHERE kept").fetchall()
     assert ids[3] == {i for i, in wanted}
     con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/3/*.parquet'")
     wanted = con.sql(f"SELECT doc_id FROM ({ORACLE_SQL['op1_mix_sources']})").fetchall()
