@@ -150,7 +150,64 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
 FROM d LEFT JOIN per USING (doc_id)
 """
 
+# crc32 by bytes: a table of 256 steps made from the polynomial, then a fold over the text.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)
+)"""
+
+
+def _crc32(text: str) -> str:
+    """Needs ``crc_table`` among the tables of its query."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])))"""
+
+
+def _leaf(n_chars: str) -> str:
+    part = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+OP13 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+crcs AS (SELECT doc_id, {_crc32("doc_id::VARCHAR")} AS crc FROM documents, crc_table),
+leaves AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf("(CASE WHEN crc % 7 = 0 THEN n_chars + 1 ELSE n_chars END)")} AS shown,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS size
+  FROM documents JOIN crcs USING (doc_id)
+), nodes AS (
+  SELECT lang, 0 AS level, pos, leaf AS h, size FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (size + 1) // 2 FROM nodes WHERE size > 1 GROUP BY lang, level, pos // 2, size
+), subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS size FROM nodes WHERE size = 1
+), tops AS (
+  SELECT 0 AS level, pos, subroot AS h, size FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (size + 1) // 2 FROM tops WHERE size > 1 GROUP BY level, pos // 2, size
+), steps AS (
+  SELECT l.doc_id, n.level, n.size, (l.pos >> n.level) % 2 AS is_right, s.h
+  FROM leaves l JOIN nodes n ON n.lang IS NOT DISTINCT FROM l.lang AND n.pos = l.pos >> n.level AND n.size > 1
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = n.level AND s.pos = xor(n.pos, 1)
+  UNION ALL
+  SELECT l.doc_id, 100 + n.level, n.size, (r.pos >> n.level) % 2, s.h
+  FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN tops n ON n.pos = r.pos >> n.level AND n.size > 1
+  LEFT JOIN tops s ON s.level = n.level AND s.pos = xor(n.pos, 1)
+), ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS k FROM steps),
+way AS (
+  SELECT doc_id, shown AS h, 0 AS k FROM leaves
+  UNION ALL
+  SELECT w.doc_id, sha256(CASE WHEN o.h IS NULL THEN w.h WHEN o.is_right = 1 THEN o.h || w.h ELSE w.h || o.h END), o.k
+  FROM way w JOIN ordered o ON o.doc_id = w.doc_id AND o.k = w.k + 1
+), ends AS (SELECT doc_id, arg_max(h, k) AS folded FROM way GROUP BY 1),
+proofs AS (SELECT doc_id, string_agg(h, '' ORDER BY level) AS p FROM steps WHERE h IS NOT NULL GROUP BY 1)
+SELECT doc_id, leaf, subroot, (SELECT h FROM tops WHERE size = 1) AS root, sha256(coalesce(p, '')) AS proof_sha256,
+  folded AS folded_root, folded = (SELECT h FROM tops WHERE size = 1) AS verified
+FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id)
+"""
+
 ORACLE_SQL = {
     "op1_mix_sources": OP1, "op2_url_filter": OP2, "op4_minhash_near_dedup": OP4, "op7_token_counts": OP7,
-    "op8_line_dedup": OP8, "op9_secret_scan": OP9,
+    "op8_line_dedup": OP8, "op9_secret_scan": OP9, "op13_merkle_manifest": OP13,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chatprep.llm import decontamination, language, line_dedup, mixing, near_dedup, quality, secrets, token_counts, toxicity
+from chatprep.llm import decontamination, language, line_dedup, merkle, mixing, near_dedup, quality, secrets, token_counts, toxicity
 from chatprep.llm import url_filter
 from chatprep.sources.stages import scratch, shared_folder
 
@@ -113,10 +113,26 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predicted(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifest of the documents; every seventh (by a hash of its id) is presented with its
+    ``n_chars`` raised by one, which its witness must not lead to the root."""
+    docs = _table(spark, folder, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    shown = F.when(chosen, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    presented = merkle.leaf([shown if c == "n_chars" else F.col(c) for c in columns])
+    made = merkle.folded(merkle.manifest(docs, columns, carried={"presented": presented}), "presented")
+    hexed = F.array_join(F.transform("witness", lambda w: F.lower(F.hex(w))), "")
+    return made.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(hexed.cast("binary"), 256).alias("proof_sha256"),
+        "folded_root", F.col("folded_root").eqNullSafe(F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_url_filter, op3_toxicity, op4_minhash_near_dedup, op5_decontaminate, op6_quality_forest,
-        op7_token_counts, op8_line_dedup, op9_secret_scan, op10_language,
+        op7_token_counts, op8_line_dedup, op9_secret_scan, op10_language, op13_merkle_manifest,
     )
 } | {"pipeline": corpus_pipeline.run}
