@@ -207,7 +207,37 @@ SELECT doc_id, leaf, subroot, (SELECT h FROM tops WHERE size = 1) AS root, sha25
 FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id)
 """
 
+OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents
+  ) WHERE length(run) >= 5 GROUP BY 1, 2
+), hashed AS (SELECT run, n, {_crc32("(doc_id || ':' || run)")} AS h FROM runs, crc_table),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+  ) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3
+), cut AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT x.word, y.word AS other FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON w.word = c.a || c.b
+  UNION SELECT w.word, c.word FROM cut c JOIN words w ON w.word = c.a || c.b
+), best AS (
+  SELECT p.word, count(*) AS n_near, arg_min(other, (-o.n, other)) AS form, max(o.n) AS form_n
+  FROM pairs p JOIN words o ON o.word = p.other GROUP BY 1
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form, CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), way AS (
+  SELECT word, word AS root, 0 AS k FROM words
+  UNION ALL SELECT w.word, f.form, k + 1 FROM way w JOIN forms f ON f.word = w.root WHERE f.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(root, k) AS root FROM way GROUP BY 1) USING (word)
+"""
+
 ORACLE_SQL = {
     "op1_mix_sources": OP1, "op2_url_filter": OP2, "op4_minhash_near_dedup": OP4, "op7_token_counts": OP7,
-    "op8_line_dedup": OP8, "op9_secret_scan": OP9, "op13_merkle_manifest": OP13,
+    "op8_line_dedup": OP8, "op9_secret_scan": OP9, "op12_spelling_variants": OP12,
+    "op13_merkle_manifest": OP13,
 }

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chatprep.llm import decontamination, language, line_dedup, merkle, mixing, near_dedup, quality, secrets, token_counts, toxicity
-from chatprep.llm import url_filter
+from chatprep.llm import decontamination, language, line_dedup, merkle, mixing, near_dedup, quality, secrets, spelling
+from chatprep.llm import token_counts, toxicity, url_filter
 from chatprep.sources.stages import scratch, shared_folder
 
 
@@ -113,6 +113,12 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predicted(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, some of them misspelt by rule, with the form each stands for."""
+    words = spelling.word_counts(_table(spark, folder, "documents"), misspell=97)
+    return spelling.variants(scratch(words, "spelling-words"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Manifest of the documents; every seventh (by a hash of its id) is presented with its
     ``n_chars`` raised by one, which its witness must not lead to the root."""
@@ -133,6 +139,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_url_filter, op3_toxicity, op4_minhash_near_dedup, op5_decontaminate, op6_quality_forest,
-        op7_token_counts, op8_line_dedup, op9_secret_scan, op10_language, op13_merkle_manifest,
+        op7_token_counts, op8_line_dedup, op9_secret_scan, op10_language, op12_spelling_variants,
+        op13_merkle_manifest,
     )
 } | {"pipeline": corpus_pipeline.run}
