@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chatprep.llm import decontamination, language, line_dedup, merkle, mixing, near_dedup, quality, secrets, spelling
-from chatprep.llm import token_counts, toxicity, url_filter
-from chatprep.sources.stages import scratch, shared_folder
+from chatprep.llm import token_counts, token_files, toxicity, url_filter
+from chatprep.sources.stages import scratch, scratch_path, shared_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -113,6 +113,15 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predicted(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as ids in coded files, and what reading the files back gives."""
+    import public_tokenizers
+
+    path = scratch_path(spark, "token-files")
+    token_files.write(_table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.read(spark, path, vocabulary=49408)
+
+
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Words of all documents, some of them misspelt by rule, with the form each stands for."""
     words = spelling.word_counts(_table(spark, folder, "documents"), misspell=97)
@@ -139,7 +148,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_url_filter, op3_toxicity, op4_minhash_near_dedup, op5_decontaminate, op6_quality_forest,
-        op7_token_counts, op8_line_dedup, op9_secret_scan, op10_language, op12_spelling_variants,
+        op7_token_counts, op8_line_dedup, op9_secret_scan, op10_language, op11_token_files, op12_spelling_variants,
         op13_merkle_manifest,
     )
 } | {"pipeline": corpus_pipeline.run}

@@ -18,7 +18,7 @@ LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 def test_all_are_registered():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
-    assert {int(k[2:].split("_")[0]) for k in QUERIES if k != "pipeline"} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in QUERIES if k != "pipeline"} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
