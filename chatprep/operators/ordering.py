@@ -122,6 +122,6 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, label: str) -> D
     for p in range(max(sizes, default=-1) + 1):
         starts.append(before)
         before += sizes.get(p, 0)
-    offsets = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
+    offsets = F.split(F.lit(",".join(map(str, starts or [0]))), ",").cast("array<bigint>")
     row = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.withColumn(name, row + F.get(offsets, part)).drop("__place")
