@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatprep.functions import content, template, tokens as tok
 from chatprep.functions.images import count_placeholders
+from chatprep.operators import semijoin
 from chatprep.settings import ChatTokens
 
 
@@ -85,23 +86,21 @@ def assemble(
     oversize: DataFrame,
     tokens: ChatTokens,
     key: str = "conv_id",
-    heaviest: int = 1000,
 ) -> DataFrame:
-    """Rendered text of the ``wanted`` conversations.
+    """Rendered text of the ``wanted`` conversations that are not ``oversize``; both are
+    narrow, stored tables with one row for each conversation.
 
-    The ``heaviest`` unwanted ones are dropped before any row moves; they are a
-    top-k, so the broadcast stays at that many keys. Whatever remains unwanted
-    holds less than one part in ``heaviest`` of the table each, so the join on the
-    key meets no hot conversation.
+    A Bloom filter of their keys turns other conversations away where they lie, so not one
+    of them, however large, comes to the join on the key. Of those it lets through by chance
+    the join drops the rest.
     """
-    heavy = oversize.orderBy(F.col("n_turns" if "n_turns" in oversize.columns else "length").desc(), key).limit(heaviest).select(key)
-    light = pieces.join(F.broadcast(heavy), key, "left_anti")
+    fitting = wanted.join(oversize.select(key), key, "left_anti")
+    light = semijoin.likely(pieces.select(key, "turn", "piece"), fitting.select(key), key)
     ordered = F.array_sort(F.collect_list(F.struct("turn", "piece")))
     said = F.array_join(F.transform("__pieces", lambda p: p["piece"]), "")
     carried = [c for c in wanted.columns if c != key]
     return (
-        light.select(key, "turn", "piece")
-        .join(wanted, key)
+        light.join(fitting, key)
         .groupBy(key)
         .agg(ordered.alias("__pieces"), *[F.any_value(c).alias(c) for c in carried])
         .select(key, *carried, F.concat(said, F.lit(template.closing(tokens))).alias("text"))

@@ -475,3 +475,7 @@ FROM longest WHERE place <= {S.TOP_LENGTHS} GROUP BY source, split
 UNION ALL SELECT 'sizes', source || '/' || split, any_value(n), count(f.row_id)
 FROM sizes LEFT JOIN fitting f USING (source, split) GROUP BY source, split
 UNION ALL SELECT 'role_histogram', role, {_ENDS} FROM routed GROUP BY role"""
+
+# Arriving in lots, or as a stream, changes nothing.
+ORACLE_SQL["staged_roles"] = ORACLE_SQL["prepared_roles"]
+ORACLE_SQL["stream_equals_batch"] = ORACLE_SQL["encode_tokens"]

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.operators import guards, profile, roles, vocab
 from chatprep.plans import recipes
 from chatprep.settings import ChatTokens
 from chatprep.sources.collection import check_identity
+from chatprep.sources.manifest import FILE, RUN, FileStage
 from chatprep.sources.stages import scratch, stage
 
 
@@ -64,29 +65,69 @@ def prepare(
     under a fingerprint of ``inputs``, the files and columns of ``raw`` and all settings,
     and reused by later runs. Files changed in place need other ``inputs``.
     """
-    limits = dict(limits or {})
     if cache_dir and not inputs:
         raise ValueError("a cache_dir needs inputs, which name the data the stages are kept for")
     # Spark gives every file it writes a name of its own, so other data has other files.
     data = [list(inputs), sorted(raw.inputFiles()), raw.schema.simpleString()]
     mapping = {"inputs": data, "recipe": recipe, "tokens": vars(tokens)}
-    routing = {"splits": dict(splits), "max_length": max_length, "limits": limits, "do": list(do), "seed": seed}
+    mapped = _store(_mapped(raw, recipe, tokens), "map", mapping, cache_dir)
+    return _routed(mapped, tokens, mapping, cache_dir, splits, max_length, limits, do, seed, response, instruction)
+
+
+def prepare_files(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    read: Callable[[Sequence[str]], DataFrame],
+    recipe: str,
+    tokens: ChatTokens,
+    *,
+    cache_dir: str,
+    splits: Mapping[str, Sequence[str]],
+    max_length: int,
+    name: str = "map",
+    limits: Mapping[str, Mapping[str, int]] | None = None,
+    do: Sequence[str] = roles.ROLE_NAMES,
+    seed: int = 0,
+    response: Sequence[str] | None = None,
+    instruction: Sequence[str] | None = None,
+) -> Prepared:
+    """As ``prepare``, from the files below ``path`` and with a map stage that is brought up
+    to them: ``read`` turns files into raw rows with ``manifest.file_of_row``, and only new
+    and changed files are read. Vocabulary and ids follow if any file changed, and are
+    taken as they are if none did. ``name`` names what ``read`` does: another reading of the
+    same files needs another name.
+    """
+    params = {"recipe": recipe, "tokens": vars(tokens), "name": name}
+    kept = FileStage(spark, cache_dir, name, params, lambda files: _mapped(read(files), recipe, tokens))
+    mapped = kept.update(path).drop(FILE, RUN)
+    mapping = params | {"stage": kept.path, "version": kept.version()}
+    return _routed(mapped, tokens, mapping, cache_dir, splits, max_length, limits, do, seed, response, instruction)
+
 
-    def store(df: DataFrame, name: str, params: dict) -> DataFrame:
-        return stage(df, cache_dir, name, params) if cache_dir else scratch(df, name)
+def _store(df: DataFrame, name: str, params: dict, cache_dir: str | None) -> DataFrame:
+    return stage(df, cache_dir, name, params) if cache_dir else scratch(df, name)
 
-    mapped = store(recipes.apply(raw, recipe, tokens), "map", mapping)
+
+def _mapped(raw: DataFrame, recipe: str, tokens: ChatTokens) -> DataFrame:
+    """Measured rows; the text of a row that is kept is not stored, its tokens are enough."""
+    return recipes.apply(raw, recipe, tokens).withColumn("text", F.when(F.col("reason").isNotNull(), F.col("text")))
+
+
+def _routed(mapped, tokens, mapping, cache_dir, splits, max_length, limits, do, seed, response, instruction) -> Prepared:
+    """Everything after the map stage."""
+    limits = dict(limits or {})
+    routing = {"splits": dict(splits), "max_length": max_length, "limits": limits, "do": list(do), "seed": seed}
     key = [c for c in ("source", "split", "row_id") if c in mapped.columns]
     check_identity(mapped, key)
     kept = guards.kept(mapped).drop("text", "n_placeholders", "n_images", "reason")
     if response:
         vocab.require(kept, response, instruction, tokens.bos, tokens.eos, "tokens")
-    words = store(vocab.build_vocab(kept, tokens.specials), "words", mapping)
+    words = _store(vocab.build_vocab(kept, tokens.specials), "words", mapping, cache_dir)
     train = splits.get("train", ()) if "train" in do else ()
     taken = roles.truncate(kept, limits, seed)
     drawn = roles.length_filter(taken, max_length, train)
     wanted = {s for role in do for s in splits.get(role, ())}
-    ids = store(vocab.encode(drawn.filter(drawn["split"].isin(*wanted)), words, key), "filter", mapping | routing)
+    ids = _store(vocab.encode(drawn.filter(drawn["split"].isin(*wanted)), words, key), "filter", mapping | routing, cache_dir)
     routed = roles.route(ids, splits, max_length, do)
     reports = _reports(kept, taken, routed, limits, max_length, train, seed)
     return Prepared(routed, guards.rejects(mapped), words, reports)

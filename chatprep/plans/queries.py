@@ -16,11 +16,13 @@ from chatprep import settings as S
 from chatprep.functions import content, images, tokens as tok
 from chatprep.operators import batches, guards, ordering, packing, profile, render, roles, vocab
 from chatprep.plans import packed, recipes
-from chatprep.plans.prepare import prepare
+from chatprep.plans.prepare import prepare, prepare_files
 from chatprep.sources.collection import ROWS_PER_SOURCE, Source, load
 from chatprep.sources import collection, fixtures
 from chatprep.sources.fixtures import LIMITS, SPLITS
-from chatprep.sources.stages import scratch
+from chatprep.sources.manifest import file_of_row
+from chatprep.sources.stages import scratch, scratch_path
+from chatprep.streaming import arrivals, committed
 
 # Queries that need no text of a whole conversation use sums over its turns.
 Query = Callable[[SparkSession, str], DataFrame]
@@ -430,6 +432,43 @@ def prepared_roles(spark, folder):
     )
 
 
+@query
+def staged_roles(spark, folder):
+    """Captions that arrive in two lots: the second run of the map stage reads the files of
+    the second lot alone, a third run reads none."""
+    path, cache = scratch_path(spark, "staged-captions"), scratch_path(spark, "staged")
+    rows = fixtures.captions(spark, folder)
+
+    def read(files):
+        if not files:
+            return spark.createDataFrame([], rows.schema).withColumn("input_file", F.lit(""))
+        return spark.read.schema(rows.schema).parquet(*files).select("*", file_of_row())
+
+    for lot in (F.col("row_id") % 2 == 0, F.col("row_id") % 2 == 1, None):
+        if lot is not None:
+            rows.filter(lot).write.mode("append").parquet(path)
+        made = prepare_files(
+            spark, path, read, "caption", S.TOKENS, cache_dir=cache,
+            splits=SPLITS, max_length=S.MAX_LENGTH, limits=LIMITS, seed=S.SEED,
+        )
+    return made.rows.select(
+        "role", "source", "split", "row_id", "length", flat(F.col("input_ids")).alias("input_ids")
+    )
+
+
+@query
+def stream_equals_batch(spark, folder):
+    """Conversations that arrive as a stream of files, kept in committed batches and encoded
+    after the stream has stopped."""
+    arrived = scratch(fixtures.chat(spark, folder), "stream-source")
+    incoming = arrivals.arriving(spark, arrived.inputFiles()[0].rsplit("/", 1)[0], arrived.schema, files_per_batch=4)
+    sink = committed.CommittedBatches(spark, scratch_path(spark, "stream-out"))
+    stream = committed.write_arrivals(incoming, "chat", S.TOKENS, S.MAX_LENGTH, sink, scratch_path(spark, "stream-checkpoint"))
+    stream.awaitTermination()
+    rows = sink.encode(vocab.build_vocab(sink.rows(), S.TOKENS.specials))
+    return rows.select("row_id", "length", flat(F.col("input_ids")).alias("input_ids"))
+
+
 @query
 def prepared_reports(spark, folder):
     """The reports of a whole run, with the templates required."""

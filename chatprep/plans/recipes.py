@@ -19,7 +19,7 @@ from chatprep.operators import guards, render
 from chatprep.operators.vocab import encode
 from chatprep.settings import ChatTokens
 
-KEYS = ("row_id", "source", "source_ord", "split")
+KEYS = ("row_id", "source", "source_ord", "split", "input_file")
 MEASURED = ("image_refs", "text", "tokens", "length", "n_placeholders", "n_images", "reason")
 
 
