@@ -8,9 +8,9 @@ words of the leaves it reaches are compared letter by letter.
 
 The upper levels of the trie are spread over Spark: a node of depth ``d`` is one group, and
 a word visits the nodes that its own vector leads to, with or without spending. ``d`` is
-the smallest depth at which no node holds more than ``NODE`` words; a node that is larger
-at full depth is split, and so is a crowd of visitors, with every part of the one meeting
-every part of the other. Below, each task searches its node as a trie in memory.
+the smallest depth, up to ``DEPTH``, at which no node holds more than ``NODE`` words; a node
+that is still larger is split, and so is a crowd of visitors, with every part of the one
+meeting every part of the other. Below, each task searches its node as a trie in memory.
 """
 
 from __future__ import annotations
@@ -29,11 +29,16 @@ from chatprep.llm.hashing import mix, slices
 from chatprep.sources.stages import scratch
 
 #: Groups of letters: a letter belongs to group ``code point % GROUPS``.
-GROUPS = 12
+GROUPS = 32
+#: The order of the groups in a trie: those of common letters tell words apart best.
+_COMMON = "eaionrtsludmchpgbvfkqwzyxj"
+ORDER = list(dict.fromkeys([*(ord(c) % GROUPS for c in _COMMON), *range(GROUPS)]))
+#: Groups whose counts may tell nodes of the spread part of the trie apart.
+DEPTH = 8
 #: Words of a node, and of a crowd of visitors, that one task holds.
 NODE = 20_000
 #: Words that a leaf of the trie in memory holds.
-LEAF = 8
+LEAF = 4
 #: Words a counting task holds before it passes on what it has counted.
 HELD = 200_000
 PIECE = 1 << 20
@@ -105,11 +110,11 @@ def word_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def vectors(words: list[str]) -> np.ndarray:
-    """Letters of each word in each group."""
+    """Letters of each word in each group, common groups first."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) % GROUPS
     at = np.repeat(np.arange(len(words)), lengths) * GROUPS + codes
-    return np.bincount(at, minlength=len(words) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+    return np.bincount(at, minlength=len(words) * GROUPS).reshape(-1, GROUPS).astype(np.int32)[:, ORDER]
 
 
 def near(a: str, b: str) -> bool:
@@ -176,9 +181,14 @@ class Trie:
             node, group, low, high, spent = todo.pop()
             if node.below is None:
                 for counts, word, number in crowd[low:high]:
+                    # One change leaves the first or the last half as it is; the later word is
+                    # as long or one longer.
+                    half, longest = len(word) // 2, len(word) + 1
+                    head, tail = word[:half], word[half:]
                     for other, theirs in zip(node.words, node.counts):
-                        if (counts < theirs or counts == theirs and word < other) and near(word, other):
-                            yield number, other
+                        if (other.startswith(head) or other.endswith(tail)) and len(other) <= longest:
+                            if (counts < theirs or counts == theirs and word < other) and near(word, other):
+                                yield number, other
                 continue
             while low < high:
                 count = crowd[low][0][group]
@@ -208,13 +218,13 @@ def _search_node(key, homes: pa.Table, visitors: pa.Table) -> pa.Table:
 
 
 def _depth(vocabulary: DataFrame) -> int:
-    """The smallest depth at which no node holds more than ``NODE`` words, or the full one."""
-    groups = [f"g{i}" for i in range(GROUPS)]
+    """The smallest depth at which no node holds more than ``NODE`` words, or ``DEPTH``."""
+    groups = [f"g{i}" for i in range(DEPTH)]
     leaves = vocabulary.select([F.col("counts")[i].alias(g) for i, g in enumerate(groups)]).groupBy(groups).agg(F.count(F.lit(1)).alias("held"))
     nodes = leaves.rollup(*groups).agg(F.sum("held").alias("held"), F.grouping_id().alias("level"))
     largest = {r.level: r.held for r in nodes.groupBy("level").agg(F.max("held").alias("held")).collect()}
     # The grouping number of depth d has a bit for each of the groups that are left out.
-    return next((d for d in range(GROUPS) if (largest.get((1 << GROUPS - d) - 1) or 0) <= NODE), GROUPS)
+    return next((d for d in range(DEPTH) if (largest.get((1 << DEPTH - d) - 1) or 0) <= NODE), DEPTH)
 
 
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
@@ -252,7 +262,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     held = at_home.groupBy("node").agg(F.count(F.lit(1)).alias("held"))
     visiting = scratch(known.mapInArrow(visits, schema).join(held, "node"), "spelling-visits")
     crowds = visiting.groupBy("node").agg(F.count(F.lit(1)).alias("guests"), F.first("held").alias("held")).select(
-        "node", F.ceil(F.col("held") / NODE).cast("int").alias("parts"), F.ceil(F.col("guests") / (8 * NODE)).cast("int").alias("crowds")
+        "node", F.ceil(F.col("held") / NODE).cast("int").alias("parts"), F.ceil(F.col("guests") / (2 * NODE)).cast("int").alias("crowds")
     )
     # Where a node or its crowd is split, every part of one meets every part of the other.
     own = lambda parts: F.pmod(F.xxhash64("word"), F.col(parts)).cast("int")
