@@ -17,11 +17,11 @@ shares no bucket with a probability of 6e-11.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatprep.llm.components import components
@@ -68,16 +68,25 @@ def _digests(members: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return made[0], made[1]
 
 
-def _row_keys(id_column: str, text_column: str) -> list:
-    """Two hashes that tell rows of different id or text apart, null or not."""
-    pair = [F.col(f"`{id_column}`"), F.col(f"`{text_column}`")]
-    return [F.xxhash64(*pair).alias("k1"), F.xxhash64(F.lit(1), *reversed(pair)).alias("k2")]
+#: What a word is made of; texts that hold none of it have no words.
+_FILLED = "[^\\x20\\x09-\\x0D]"
+
+
+def _row_keys(columns: Sequence[str]) -> list[Column]:
+    """Two hashes that tell rows apart which differ in any of the columns, null or not."""
+    told = [x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return [F.xxhash64(F.lit(seed), *told).alias(f"k{seed}") for seed in (1, 2)]
+
+
+def _hashable(docs: DataFrame) -> list[str]:
+    return [f.name for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
 
 
 def sketched(docs: DataFrame, id_column: str, text_column: str, size: int = SHINGLE,
-             coordinates: int = COORDINATES, rows: int = ROWS) -> DataFrame:
+             coordinates: int = COORDINATES, rows: int = ROWS, told_by: Sequence[str] | None = None) -> DataFrame:
     """``(doc_id, k1, k2, n_shingles, lo, hi, bands)`` of every row; ``k1``, ``k2`` hash
-    the row, ``lo``, ``hi`` its set, ``bands`` is empty for an empty set."""
+    the columns ``told_by`` (id and text), ``lo``, ``hi`` the set, ``bands`` is empty for
+    an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values in slices(batches, "text"):
@@ -97,7 +106,7 @@ def sketched(docs: DataFrame, id_column: str, text_column: str, size: int = SHIN
 
     kind = docs.schema[id_column].dataType.simpleString()
     narrow = docs.select(
-        F.col(id_column).alias("doc_id"), *_row_keys(id_column, text_column), F.col(text_column).cast("binary").alias("text")
+        F.col(id_column).alias("doc_id"), *_row_keys(told_by or (id_column, text_column)), F.col(text_column).cast("binary").alias("text")
     )
     return narrow.mapInArrow(run, f"doc_id {kind}, k1 bigint, k2 bigint, n_shingles bigint, lo bigint, hi bigint, bands array<bigint>")
 
@@ -139,7 +148,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE,
-           percent: int = PERCENT, coordinates: int = COORDINATES, rows: int = ROWS) -> DataFrame:
+           percent: int = PERCENT, coordinates: int = COORDINATES, rows: int = ROWS,
+           told_by: Sequence[str] | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept, component, k1, k2)``, one row per row of ``docs``.
 
     ``component_id`` is the smallest id a document is linked with over any number of
@@ -149,14 +159,16 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     so it is kept only if its group has no id at all. Rows with one id and different
     texts are different documents, equal rows share everything. An empty table gives
     an empty one. Other columns are not looked at. ``component`` numbers the group in this
-    run (null without words), ``k1`` and ``k2`` hash id and text.
+    run (null without words), ``k1`` and ``k2`` hash the columns ``told_by``, of which the
+    text has to be one (id and text unless given).
     """
+    told_by = told_by or (id_column, text_column)
     kind = docs.schema[id_column].dataType.simpleString()
-    made = scratch(sketched(docs, id_column, text_column, size, coordinates, rows), "near-sketches")
+    made = scratch(sketched(docs, id_column, text_column, size, coordinates, rows, told_by), "near-sketches")
     key = ["lo", "hi", "n_shingles"]
     classes = scratch(
         made.filter("n_shingles > 0").groupBy(key)
-        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.min(F.struct("k1", "k2")).alias("k"))
         .withColumn("node", F.monotonically_increasing_id()),
         "near-classes",
     )
@@ -164,15 +176,16 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("bucket")
     hits = scratch(members.join(shared, "bucket"), "near-hits")
 
-    wanted = hits.select("node").distinct().join(classes.select("node", "rep", "lo", "hi"), "node")
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text"))
-    found = wanted.join(texts, F.col("rep").eqNullSafe(F.col("id")))
+    # Any one text of a node will do; rows that repeat it are put together after the join,
+    # which leaves AQE free to split a row that is repeated very often.
+    wanted = hits.select("node").distinct().join(classes.select("node", "k.k1", "k.k2", "lo", "hi"), "node")
+    texts = docs.select(*_row_keys(told_by), F.col(text_column).cast("binary").alias("text"))
+    found = wanted.join(texts, ["k1", "k2"]).groupBy("node", "lo", "hi").agg(F.first("text").alias("text"))
     sets = scratch(_sets(found.select("node", "lo", "hi", "text"), size), "near-sets")
 
-    # A shingle is a node's own when no other candidate has its 32-bit print.
-    prints = sets.select("node", F.explode("shingles").alias("s")).select("node", F.shiftright("s", 32).cast("int").alias("p"))
+    # A shingle is a node's own when no other candidate has it.
     own = (
-        prints.groupBy("p").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("node"))
+        sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("node"))
         .filter("held = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
     )
     open_nodes = scratch(
@@ -236,14 +249,18 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 
 def kept_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay: one of each group.
+    """The rows of ``docs``, with all their columns, that stay: one of each group, and every
+    row whose text is null or has no words, however often it is repeated.
 
-    Of a group the document with the smallest id stays; if several rows have that id,
-    the one with the smallest hash. Equal rows are one row. Texts without words stay.
+    Of a group the document with the smallest id stays. If several rows have that id, the
+    one with the smallest hash over all columns (but maps) stays, and equal rows are one
+    row. A group without any id keeps the row with the smallest hash likewise. An empty
+    table gives an empty one; no column is added, so no name can clash.
     """
-    made = scratch(groups(docs, id_column, text_column, **settings), "near-groups")
-    one = made.filter("kept AND n_shingles > 0").groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
-    stay = one.unionByName(made.filter("n_shingles = 0").select("k1", "k2")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_row_keys(id_column, text_column))
+    told_by = _hashable(docs)
+    made = scratch(groups(docs, id_column, text_column, told_by=told_by, **settings), "near-groups")
+    stay = made.filter("kept AND n_shingles > 0").groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
+    words = F.coalesce(F.regexp_like(F.col(f"`{text_column}`"), F.lit(_FILLED)), F.lit(False))
+    rows = docs.filter(words).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_row_keys(told_by))
     found = rows.join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).unionByName(docs.filter(~words))
