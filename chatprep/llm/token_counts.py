@@ -3,8 +3,9 @@
 A change feed inserts, deletes or revises documents. Each batch becomes signed counts:
 what its documents counted before goes out, what they count now comes in. The signed
 rows are kept per document (the ledger) and, added up, per source, language and
-tokenizer version (the rollup); totals are sums of the rollup. A batch is one partition
-of each, written over as a whole, so committing it again changes nothing.
+tokenizer version (the rollup); totals are sums of the rollup. A batch is one folder
+of each, written over as a whole, so committing it again changes nothing; it counts once a
+row of the table of commits names it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.llm.hashing import slices
+from chatprep.sources.stages import scratch
 
 GROUP = ["source", "lang", "tokenizer"]
 DELETE = "delete"
@@ -65,56 +67,80 @@ def changes(docs: DataFrame, operation: str, id_column: str = "doc_id", text_col
 
 
 class Rollup:
-    """Ledger and rollup tables below ``folder``, which all executors share."""
+    """Ledger, rollup and commits below ``folder``, which all executors share."""
 
     def __init__(self, spark: SparkSession, folder: str, id_type: str = "bigint"):
-        self.spark = spark
-        self.ledger_path, self.rollup_path = f"{folder.rstrip('/')}/ledger", f"{folder.rstrip('/')}/rollup"
         group = "source string, lang string, tokenizer string"
-        self.ledger_schema = f"doc_id {id_type}, {group}, docs bigint, tokens bigint, batch bigint"
-        self.rollup_schema = f"{group}, docs bigint, tokens bigint, batch bigint"
-        for path, schema in ((self.ledger_path, self.ledger_schema), (self.rollup_path, self.rollup_schema)):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.schemas = {
+            "ledger": f"doc_id {id_type}, {group}, docs bigint, tokens bigint, batch bigint",
+            "rollup": f"{group}, docs bigint, tokens bigint, batch bigint",
+            "commits": "ledger_rows bigint, batch bigint",
+        }
+        for name, schema in self.schemas.items():
             # An empty table, so that reading needs no special case.
-            spark.createDataFrame([], schema).write.mode("ignore").partitionBy("batch").parquet(path)
+            spark.createDataFrame([], schema).write.mode("ignore").partitionBy("batch").parquet(f"{self.folder}/{name}")
 
-    def _read(self, path: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(path)
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{name}")
+
+    def _committed(self, name: str) -> DataFrame:
+        return self._read(name).join(self._read("commits").select("batch"), "batch", "left_semi")
 
     def ledger(self) -> DataFrame:
-        return self._read(self.ledger_path, self.ledger_schema)
+        """The signed rows of all committed batches."""
+        return self._committed("ledger")
 
-    def commit(self, batch: int, feed: DataFrame) -> None:
+    def commit(self, batch: int, feed: DataFrame, sequence: str | None = None) -> None:
         """Takes in the change rows of one batch: ``insert`` and ``revise`` give the counts
         a document now has for a tokenizer version, ``delete`` takes its counts away.
 
-        A batch is set against the batches with smaller numbers, so they are to be
-        committed in order; committing the latest one again, after a failure or by
-        mistake, writes the same partitions again. Several rows of a batch for one
-        document, version, source and language add up; a document that is inserted again
-        counts once; deleting an unknown document does nothing. Rows with a null id
-        cannot be told apart: they are taken as one document. Null sources and languages
-        are values of their own.
+        Of several rows of a batch for one document and tokenizer version the last counts,
+        by the feed's column ``sequence``; of those with the largest number, and of all if
+        no column is named, a delete goes before the others, then the largest tokens, source
+        and language. So a repeated row counts once. A document that is inserted again counts
+        once; deleting an unknown document does nothing. Rows with a null id are taken as one
+        document. Null sources and languages are values of their own; null tokens are none.
+
+        Committing the latest batch again, after a failure or by mistake, replaces it as a
+        whole, also by an empty feed. A batch below the latest one is refused with
+        ``ValueError``, as later ones have been set against what was there. A commit that
+        stops on its way leaves totals as they were, or without its batch if it was made
+        before, until it is committed again.
         """
-        keys = feed.select("doc_id", "tokenizer").distinct().select(F.col("doc_id").alias("k_id"), F.col("tokenizer").alias("k_tokenizer"))
+        latest = self._read("commits").agg(F.max("batch")).first()[0]
+        if latest is not None and batch < latest:
+            raise ValueError(f"batch {batch} comes after batch {latest} has been committed")
+        order = F.col(sequence) if sequence else F.lit(0)
+        last = F.max(F.struct(
+            order.alias("at"), (F.col("operation") == DELETE).alias("gone"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "source", "lang"
+        ))
+        latest_rows = feed.groupBy("doc_id", "tokenizer").agg(last.alias("x")).select(
+            F.col("doc_id").alias("k_id"), F.col("tokenizer").alias("k_tokenizer"), "x.gone", "x.tokens", "x.source", "x.lang"
+        )
+        # Read for what was there before and for what is there now.
+        now = scratch(latest_rows, "tokens-now")
+        changed = F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("tokenizer").eqNullSafe(F.col("k_tokenizer"))
         known = self.ledger().filter(F.col("batch") < batch)
-        changed = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("tokenizer") == F.col("k_tokenizer"))
-        before = known.join(keys, changed, "left_semi").select("doc_id", *GROUP, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
-        now = (
-            feed.filter(F.col("operation") != DELETE).groupBy("doc_id", *GROUP).agg(F.sum("tokens").alias("tokens"))
-            .select("doc_id", *GROUP, F.lit(1).cast("bigint").alias("docs"), "tokens")
+        before = known.join(now.select("k_id", "k_tokenizer"), changed, "left_semi").select(
+            "doc_id", *GROUP, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")
+        )
+        after = now.filter("NOT gone").select(
+            F.col("k_id").alias("doc_id"), "source", "lang", F.col("k_tokenizer").alias("tokenizer"), F.lit(1).cast("bigint").alias("docs"), "tokens"
         )
         signed = (
-            before.unionByName(now).groupBy("doc_id", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-            .filter("docs != 0 OR tokens != 0").withColumn("batch", F.lit(batch).cast("bigint"))
+            before.unionByName(after).groupBy("doc_id", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+            .filter("docs != 0 OR tokens != 0")
         )
-        self._put(signed, self.ledger_path)
-        own = self.ledger().filter(F.col("batch") == batch)
-        self._put(own.groupBy(*GROUP, "batch").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), self.rollup_path)
+        self._put(signed, "ledger", batch)
+        own = self._read("ledger").filter(F.col("batch") == batch)
+        self._put(own.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), "rollup", batch)
+        self._put(own.agg(F.count(F.lit(1)).alias("ledger_rows")), "commits", batch)
 
-    def _put(self, rows: DataFrame, path: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    def _put(self, rows: DataFrame, name: str, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
 
     def totals(self) -> DataFrame:
         """``(source, lang, tokenizer, docs, tokens)`` of what is there after all batches."""
-        rows = self._read(self.rollup_path, self.rollup_schema)
+        rows = self._committed("rollup")
         return rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs != 0 OR tokens != 0")
