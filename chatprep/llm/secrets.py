@@ -7,16 +7,19 @@ found; a scan reads only unseen pairs, and findings are joined back to every pat
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.sources.stages import shared_folder
 
-#: Changes whenever a rule does.
-RULE_VERSION = "2"
+#: Goes up when the same rules come to mean something else.
+READING = 2
 
 
 @dataclass(frozen=True)
@@ -43,6 +46,14 @@ ADDED = (
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 RULES = BASE + ADDED
+
+
+def version_of(rules: Sequence[Rule]) -> str:
+    """A digest of the rules in their order, so that no other rules pass for them."""
+    return hashlib.sha256(json.dumps([READING, *map(astuple, rules)]).encode()).hexdigest()[:16]
+
+
+RULE_VERSION = version_of(RULES)
 FINDINGS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -96,19 +107,27 @@ class Ledger:
     def rows(self, rule_version: str) -> DataFrame:
         return self.spark.read.schema(self.SCHEMA).parquet(self.path).filter(F.col("rule_version") == rule_version).select("blob", "found")
 
-    def scan(self, versions: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> None:
-        """Scans the blobs of ``versions`` that this rule version has not seen, each once.
-        A lost run leaves either nothing or whole pairs behind; scanning again is safe."""
+    def scan(self, versions: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
+        """Scans the blobs of ``versions`` that these rules have not seen, each once.
+
+        Equal and null texts (read as empty) are one blob, an empty table adds nothing, and
+        texts of any length are scanned as a whole. A lost run leaves either nothing or
+        whole pairs behind; scanning again is safe. Of one ledger, one scan runs at a time:
+        two at once would both store the blobs that are new to both.
+        """
+        version = version_of(rules)
         texts = versions.select(blob_of(F.col(text_column)).alias("blob"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-        unseen = texts.join(self.rows(rule_version).select("blob"), "blob", "left_anti")
+        unseen = texts.join(self.rows(version).select("blob"), "blob", "left_anti")
         once = unseen.groupBy("blob").agg(F.first("text").alias("text"))
-        made = once.select("blob", findings(F.col("text"), rules).alias("found"), F.lit(rule_version).alias("rule_version"))
+        made = once.select("blob", findings(F.col("text"), rules).alias("found"), F.lit(version).alias("rule_version"))
         made.write.mode("append").partitionBy("rule_version").parquet(self.path)
 
-    def found_in(self, versions: DataFrame, text_column: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    def found_in(self, versions: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """``versions`` without the text, with ``found``: the findings of every path and
-        version. A blob that has not been scanned has a null ``found``."""
-        others = [F.col(f"`{c}`") for c in versions.columns if c != text_column]
-        rows = versions.select(F.struct(*others).alias("row"), blob_of(F.col(text_column)).alias("blob"))
-        seen = self.rows(rule_version).dropDuplicates(["blob"])
-        return rows.join(seen, "blob", "left").select("row.*", "found")
+        version, in place of a column of that name. A blob that these rules have not scanned
+        has a null ``found``. Repeated rows stay. The ledger holds a blob once, so AQE can
+        split one that many paths share."""
+        others = [F.col(f"`{c}`") for c in versions.columns if c not in (text_column, "found")]
+        rows = versions.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), blob_of(F.col(text_column)).alias("blob"))
+        made = rows.join(self.rows(version_of(rules)), "blob", "left")
+        return made.select(*[F.col("row").getField(c).alias(c) for c in versions.columns if c not in (text_column, "found")], "found")
