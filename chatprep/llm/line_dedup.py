@@ -9,6 +9,8 @@ never covered, so nothing is lost altogether.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +43,11 @@ def _windows(docs: DataFrame) -> DataFrame:
     return made.select("id", "print", F.inline(every))
 
 
-def deduped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def deduped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+            removed_column: str = "removed_lines") -> DataFrame:
     """``docs`` with all its columns, ``text_column`` without the covered lines, and one
-    more column ``removed_lines``, the number of lines taken out (null for null texts).
+    more column ``removed_column``, the number of lines taken out (null for null texts).
+    A column of ``docs`` with that name is written over.
 
     A text of fewer than three filled lines stays as it is. Rows that agree in id and
     text are one document and get the same result; rows with one id and different texts
@@ -72,11 +76,20 @@ def deduped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     )
     removed = F.when(F.col("text").isNotNull(), F.coalesce(F.size("covered"), F.lit(0)))
     return joined.select("row", text.alias("text"), removed.alias("removed")).select(
-        *[(F.col("text") if c == text_column else F.col("row").getField(c)).alias(c) for c in docs.columns],
-        F.col("removed").alias("removed_lines"),
+        *[(F.col("text") if c == text_column else F.col("row").getField(c)).alias(c)
+          for c in docs.columns if c.lower() != removed_column.lower()],
+        F.col("removed").alias(removed_column),
     )
 
 
 def line_count(text: Column) -> Column:
     """Number of lines of a text that are not blank; 0 for null."""
     return F.coalesce(F.size(_filled(text)), F.lit(0))
+
+
+def free_name(wanted: str, columns: Sequence[str]) -> str:
+    """``wanted``, with as many underscores after it as no column has yet."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

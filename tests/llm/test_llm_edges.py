@@ -76,6 +76,16 @@ def test_line_dedup_across_documents(spark):
     assert got == [("1", "a\n\nb", 3), ("2", "own", 3), ("2", "own", 3), ("3", "q\nr", 0), ("None", "p\nq\nr", 0)]
 
 
+def test_line_dedup_on_its_own_output(docs, tmp_path):
+    once = line_dedup.deduped(docs)
+    twice = line_dedup.deduped(once)
+    assert twice.columns == once.columns and twice.filter("removed_lines > 0").count() == 0
+    stage = dict(corpus_pipeline.STAGES)["line dedup"](docs.sparkSession, once, str(tmp_path))
+    assert stage.columns == once.columns and stage.count() == once.count()
+    # The stage leaves a column of that name alone.
+    assert stage.filter("removed_lines = 3").count() == once.filter("removed_lines = 3").count()
+
+
 def test_decontamination(docs, items, spark):
     assert decontamination.contaminated(docs, items).count() == 0
     bad = spark.createDataFrame([(1, "x six seven, eight NINE ten y one two three four five z"), (2, "one two three"), (None, None)], "doc_id bigint, text string")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chatprep.llm import decontamination, mixing, near_dedup, quality, secrets, token_counts, url_filter
 from chatprep.llm.components import components
@@ -241,6 +242,29 @@ def test_digest_collisions_are_confirmed(tmp_path, monkeypatch):
     assert [array.rule(i) if i >= 0 else None for i in found] == [(b"a.org", b"/"), (b"b.org", b"/x"), (b"org", b"/"), None]
 
 
+def test_near_copies_lose_no_row(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    schema = "doc_id bigint, source string, text string"
+    rows = [(1, "b", long), (1, "a", long), (1, "a", long), (2, "a", long + " z"), (None, "c", long),
+            (3, "a", None), (3, "b", None), (3, "b", None), (4, "a", " \n"), (5, "a", "one"), (5, "a", "one"), (None, "a", "two"), (None, "b", "two")]
+    kept = near_dedup.kept_documents(spark.createDataFrame(rows, schema), percent=80).collect()
+    got = Counter((r.doc_id, r.text) for r in kept)
+    # One of the five copies, whichever of the rows with the smallest id; all rows without words.
+    assert got == {(1, long): 1, (3, None): 3, (4, " \n"): 1, (5, "one"): 1, (None, "two"): 1}
+    assert Counter(r.source for r in kept if r.doc_id == 3) == {"a": 1, "b": 2}
+
+
+def test_near_sets_hold_a_node_once(spark, monkeypatch):
+    stored = {}
+    own = near_dedup.scratch
+    monkeypatch.setattr(near_dedup, "scratch", lambda df, label: stored.setdefault(label, own(df, label)))
+    long = [f"w{i}" for i in range(60)]
+    rows = [(k % 2 if k < 300 else None, " ".join([*long, "z" * (k % 2)])) for k in range(400)]
+    got = near_dedup.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == 400 and {r.component_id for r in got} == {0}
+    assert stored["near-sets"].count() == 2
+
+
 def test_rollup_is_idempotent_and_signed(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a", "en", "x y"), (2, "a", "en", "z"), (3, "b", None, "q q q")], "doc_id bigint, source string, lang string, text string")
     rollup = token_counts.Rollup(spark, str(tmp_path))
@@ -256,6 +280,49 @@ def test_rollup_is_idempotent_and_signed(spark, tmp_path):
     assert words() == {("a", "en"): (1, 2), ("b", "en"): (1, 4)}
 
 
+def test_last_change_of_a_batch_counts(spark, tmp_path):
+    rollup = token_counts.Rollup(spark, str(tmp_path))
+    feed = "doc_id bigint, source string, lang string, tokenizer string, tokens bigint, operation string, at int"
+    rows = lambda *made: spark.createDataFrame([(i, "a", "en", "t", n, op, at) for i, n, op, at in made], feed)
+    total = lambda: [(r.docs, r.tokens) for r in rollup.totals().collect()]
+    rollup.commit(1, rows((1, 3, "insert", 0), (1, 3, "insert", 0)))
+    assert total() == [(1, 3)]
+    # Inserted and deleted in one batch, in that order and in the other; a delete without order.
+    rollup.commit(2, rows((2, 5, "insert", 1), (2, 0, "delete", 2), (3, 0, "delete", 1), (3, 7, "insert", 2)), "at")
+    assert total() == [(2, 10)]
+    rollup.commit(2, rows((4, 5, "insert", 1), (4, 0, "delete", 0)))
+    assert total() == [(1, 3)]
+    rollup.commit(2, rows((1, 8, "revise", 1), (1, 9, "revise", 0)), "at")
+    assert total() == [(1, 8)]
+    # An empty feed clears an earlier commit of the same batch; what is older stays.
+    rollup.commit(2, rows().limit(0))
+    assert total() == [(1, 3)]
+    with pytest.raises(ValueError):
+        rollup.commit(1, rows((9, 1, "insert", 0)))
+    assert total() == [(1, 3)]
+
+
+def test_batch_that_stopped_half_way_does_not_count(spark, tmp_path, monkeypatch):
+    rollup = token_counts.Rollup(spark, str(tmp_path))
+    docs = spark.createDataFrame([(1, "a", "en", "x y"), (None, "a", None, None)], "doc_id bigint, source string, lang string, text string")
+    rollup.commit(1, token_counts.changes(docs, "insert"))
+    before = sorted(map(str, rollup.totals().collect()))
+    put = rollup._put
+    for stopped_at in ("rollup", "commits"):
+        def some(rows, name, batch, stopped_at=stopped_at):
+            if name == stopped_at:
+                raise RuntimeError
+            put(rows, name, batch)
+
+        monkeypatch.setattr(rollup, "_put", some)
+        with pytest.raises(RuntimeError):
+            rollup.commit(2, token_counts.changes(docs, "delete"))
+        assert sorted(map(str, rollup.totals().collect())) == before
+    monkeypatch.setattr(rollup, "_put", put)
+    rollup.commit(3, token_counts.changes(docs, "delete"))
+    assert rollup.totals().count() == 0
+
+
 def test_counts_by_tokenizer_file(spark, small):
     import os
 
@@ -283,8 +350,28 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     assert ledger.rows(secrets.RULE_VERSION).count() == 3
     got = {(r.path, r.version): [(f.kind, f.start, f.end) for f in r.found] for r in ledger.found_in(second).collect()}
     assert got == {("a", 1): [("assign", 2, 19)], ("b", 1): [("assign", 2, 19)], ("c", 1): [], ("a", 2): [("access", 0, 20)]}
-    ledger.scan(second, rule_version="next")
-    assert ledger.rows("next").count() == 3
+    # Other rules have seen nothing yet, and what they find stays apart from what these find.
+    fewer = secrets.RULES[:1]
+    assert ledger.found_in(second, rules=fewer).filter("found IS NULL").count() == len(got)
+    ledger.scan(second, rules=fewer)
+    assert ledger.rows(secrets.version_of(fewer)).count() == 3
+    kinds = lambda rules: sorted(f.kind for r in ledger.found_in(second, rules=rules).collect() for f in r.found)
+    assert kinds(fewer) == ["assign", "assign"] and kinds(secrets.RULES) == ["access", "assign", "assign"]
+    # A column of the findings' name is written over.
+    again = ledger.found_in(second.withColumn("found", F.lit(1)))
+    assert again.columns == ["path", "version", "found"] and again.filter("size(found) = 1").count() == 3
+
+
+def test_ledger_of_no_texts_and_of_many_secrets(spark, tmp_path):
+    ledger = secrets.Ledger(spark, str(tmp_path))
+    schema = "path string, text string"
+    ledger.scan(spark.createDataFrame([], schema))
+    assert ledger.rows(secrets.RULE_VERSION).count() == 0
+    many = "".join(f"token={i:06d} " for i in range(500))
+    rows = spark.createDataFrame([("a", many), ("a", many), (None, None), ("b", "")], schema)
+    ledger.scan(rows)
+    got = [(r.path, len(r.found), r.found[-1].end if r.found else None) for r in ledger.found_in(rows).collect()]
+    assert sorted(got, key=str) == [("a", 500, len(many) - 1)] * 2 + [("b", 0, None), (None, 0, None)]
 
 
 def test_raking_meets_its_marginals(spark):
