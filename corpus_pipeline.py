@@ -24,8 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without later occurrences of repeated three-line windows; ``n_chars`` follows the
     text. A document of which nothing but blanks is left goes."""
-    made = line_dedup.deduped(docs)
-    touched = F.col("removed_lines") > 0
+    removed = line_dedup.free_name("removed_lines", docs.columns)
+    made = line_dedup.deduped(docs, removed_column=removed)
+    touched = F.col(removed) > 0
     left = made.filter(~F.coalesce(touched & (line_dedup.line_count(F.col("text")) == 0), F.lit(False)))
     return left.select(
         *[
