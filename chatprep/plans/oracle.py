@@ -446,6 +446,14 @@ SELECT s AS role, s AS split, row_id AS doc_id, length, length AS n_ids
 FROM ({ORACLE_SQL["recipe_caption"]}), (VALUES ('train'), ('test')) v(s)
 WHERE reason IS NULL AND (s <> 'train' OR length <= {S.MAX_LENGTH})"""
 
+ORACLE_SQL["load_text_ids"] = """WITH papers AS (
+  SELECT source, doc_id, text, row_number() OVER (ORDER BY '["' || source || '","' || doc_id || '"]') - 1 AS n FROM documents),
+chats AS (
+  SELECT conv_id, turn, text, row_number() OVER (ORDER BY '["' || conv_id || '","' || turn || '"]') - 1 AS n FROM conversations)
+SELECT 'papers' AS source, source AS own_source, doc_id AS own_id, NULL::BIGINT AS turn, n AS row_id, length(text) AS n_chars FROM papers
+UNION ALL
+SELECT 'chats', NULL, conv_id, turn, n + (SELECT count(*) FROM papers), length(text) FROM chats"""
+
 ORACLE_SQL["attach_image_sizes"] = """WITH referred AS (
   SELECT doc_id AS row_id, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 7 = 1 THEN NULL ELSE doc_id END AS k FROM documents)
 SELECT row_id, CASE WHEN k % 5 <> 4 THEN (224 + k % 4)::INTEGER END AS height,

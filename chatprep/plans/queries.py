@@ -19,6 +19,7 @@ from chatprep.plans import packed, recipes
 from chatprep.plans.prepare import prepare, prepare_files
 from chatprep.sources.collection import ROWS_PER_SOURCE, Source, load
 from chatprep.sources import collection, fixtures
+from chatprep.sources.ids import IdDictionary
 from chatprep.sources.fixtures import LIMITS, SPLITS
 from chatprep.sources.manifest import file_of_row
 from chatprep.sources.stages import scratch, scratch_path
@@ -504,6 +505,18 @@ def load_split_ids(spark, folder):
     )
 
 
+@query
+def load_text_ids(spark, folder):
+    """Ids of two columns, numbered by a dictionary; a second source comes in later, and
+    the numbers of the first stay."""
+    docs = Source(f"{folder}/documents.parquet", {"caption": "text", "own_source": "source", "own_id": "doc_id"}, row_id=["source", "doc_id"])
+    turns = Source(f"{folder}/conversations.parquet", {"caption": "text", "own_id": "conv_id", "turn": "turn"}, row_id=["conv_id", "turn"])
+    ids = IdDictionary(spark, scratch_path(spark, "id-dictionary"))
+    load(spark, {"papers": docs}, ids=ids)
+    made = load(spark, {"chats": turns, "papers": docs}, ids=ids)
+    return made.select("source", "own_source", "own_id", "turn", "row_id", F.length("caption").cast("long").alias("n_chars"))
+
+
 # Profiles
 
 

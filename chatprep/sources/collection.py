@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.functions.images import first_image
+from chatprep.sources.ids import KEY, IdDictionary, own_id
 
 # Own ids of one path lie from 0 to below this; others are refused with an error.
 ROWS_PER_SOURCE = 1 << 40
@@ -32,12 +33,13 @@ class Source:
 
     ``path`` is one path, or a path per split. ``split`` gives the split of a row
     where one path holds several. A subset is a value of ``subset_column``, or a
-    folder below the path when no column is named.
+    folder below the path when no column is named. ``row_id`` names one column of
+    numbers; with a dictionary of ids, also a column of texts or several columns.
     """
 
     path: str | Mapping[str, str]
     columns: Mapping[str, str | Column] = field(default_factory=dict)
-    row_id: str | None = None
+    row_id: str | Sequence[str] | None = None
     split: Column | None = None
     subset_column: str | None = None
     format: str = "parquet"
@@ -63,17 +65,26 @@ def _checked_id(name: str, own: Column, place: int) -> Column:
     return F.when(fits, F.lit(place * ROWS_PER_SOURCE).cast("long") + own).otherwise(F.raise_error(said).cast("long"))
 
 
-def _one(spark: SparkSession, name: str, place: int, first: int, source: Source, subset: str | None) -> DataFrame:
+def _id_columns(source: Source) -> list[str]:
+    return [source.row_id] if isinstance(source.row_id, str) else list(source.row_id or ())
+
+
+def _one(spark: SparkSession, name: str, place: int, first: int, source: Source, subset: str | None,
+         by_dictionary: bool) -> DataFrame:
     """``first`` numbers the source's first path among all paths of the collection."""
     tables = []
     for at, (split, path) in enumerate(_paths(source).items(), first):
         df = _read(spark, source, path, subset)
         named = {k: (F.col(v) if isinstance(v, str) else v) for k, v in source.columns.items()}
         chosen = [c.alias(k) for k, c in named.items()] or [
-            F.col(c) for c in df.columns if c not in (source.row_id, "source", "split")
+            F.col(c) for c in df.columns if c not in (*_id_columns(source), "source", "split")
         ]
-        if source.row_id:
-            own = F.col(source.row_id).cast("long")
+        if source.row_id and by_dictionary:
+            chosen += [F.lit(split or "").alias("__path_split"), own_id(name, _id_columns(source)).alias("__own")]
+        elif source.row_id:
+            if len(_id_columns(source)) > 1:
+                raise ValueError(f"source {name} has an id of several columns, which takes a dictionary of ids")
+            own = F.col(_id_columns(source)[0]).cast("long")
             chosen.insert(0, _checked_id(name, own, at).alias("row_id"))
         where = F.lit(split) if split is not None else (source.split if source.split is not None else F.lit("train"))
         tables.append(
@@ -91,18 +102,30 @@ def load(
     spark: SparkSession,
     sources: Mapping[str, Source | str],
     subset: Mapping[str, str] | None = None,
+    ids: IdDictionary | None = None,
 ) -> DataFrame:
     """All sources in list order as one table with ``source``, ``source_ord``,
     ``split`` and, where a source names its id column, a ``row_id`` that sorts by
     source and path, then by the own id. Ids that are unique in each path are unique in
     the collection, also where the files of several splits each count from 1. An own id
-    that is null, negative or 2^40 and more is an error."""
-    picked, tables, first = subset or {}, [], 0
+    that is null, negative or 2^40 and more is an error.
+
+    With ``ids``, own ids may be texts or several columns, of any number and size: the
+    dictionary is extended by those it has not seen, and ``row_id`` is their number there.
+    It then sorts by the run that first saw a row, by source name, split and own id."""
+    picked, tables, plain, first = subset or {}, [], [], 0
     for i, (name, s) in enumerate(sources.items()):
         source = s if isinstance(s, Source) else Source(s)
-        tables.append(_one(spark, name, i, first, source, picked.get(name)))
+        made = _one(spark, name, i, first, source, picked.get(name), ids is not None)
+        # What has no ids meets nothing in the dictionary.
+        (tables if ids is None or source.row_id else plain).append(made)
         first += len(_paths(source))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    if ids is not None and tables:
+        keyed = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+        key = ["source", "__path_split", "__own"]
+        known = ids.extend(keyed.select(*[F.col(a).alias(b) for a, b in zip(key, KEY)])).toDF(*key, "row_id")
+        tables = [keyed.join(known, key).drop("__path_split", "__own")]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables + plain)
 
 
 def check_identity(rows: DataFrame, key: Sequence[str]) -> None:

@@ -10,6 +10,8 @@ from chatprep.plans.prepare import prepare
 from chatprep.settings import TOKENS
 from chatprep.sources import collection, fixtures, stages
 from chatprep.operators import vocab
+from chatprep.sources.collection import Source, load
+from chatprep.sources.ids import IdDictionary
 from chatprep.streaming import arrivals
 
 
@@ -265,3 +267,32 @@ def test_plan_does_not_depend_on_size(spark, small):
             plan = queries.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
             shapes.append([line.strip(" :+-").split(" ")[0] for line in plan.splitlines()])
         assert shapes[0] == shapes[1]
+
+
+def test_text_ids_keep_their_numbers(spark, tmp_path):
+    def table(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+        return f"{tmp_path}/{name}"
+
+    ids = IdDictionary(spark, f"{tmp_path}/ids")
+    docs = table("d", [("y", None, "t1"), ("x", 10, "t2"), ("x", 9, "t3"), ('q","1', 1, "t4"), ("q", None, "t5")], "a string, b int, text string")
+    papers = Source(docs, {"caption": "text"}, row_id=["a", "b"])
+    number = lambda **sources: {(r.source, r.caption): r.row_id for r in load(spark, sources, ids=ids).collect()}
+    first = number(papers=papers)
+    assert sorted(first.values()) == [0, 1, 2, 3, 4]
+    assert number(papers=papers) == first and ids.numbers().count() == 5
+    notes = table("n", [("k2", "u"), ("k1", "v")], "k string, text string")
+    both = number(notes=Source({"train": notes, "test": notes}, {"caption": "text"}, row_id="k"), papers=papers)
+    assert {k: v for k, v in both.items() if k[0] == "papers"} == first
+    # Both splits count for themselves: test comes before train.
+    got = sorted(r.row_id for r in ids.numbers().filter("source = 'notes'").collect())
+    assert got == [5, 6, 7, 8] and ids.numbers().filter("path_split = 'test' AND row_id < 7").count() == 2
+    # Sources without ids keep all their rows, and have none.
+    plain = load(spark, {"papers": papers, "plain": Source(notes, {"caption": "text"})}, ids=ids)
+    assert plain.filter("row_id IS NULL").count() == 2 and plain.count() == 7
+    empty = spark.createDataFrame([], "source string, path_split string, own string")
+    assert ids.extend(empty).count() == 9
+    with pytest.raises(Exception, match="row id of source bad is null"):
+        number(bad=Source(table("z", [(None, None, "t")], "a string, b int, text string"), {"caption": "text"}, row_id=["a", "b"]))
+    with pytest.raises(ValueError, match="several columns"):
+        load(spark, {"papers": papers})
