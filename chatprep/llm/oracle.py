@@ -64,32 +64,39 @@ WITH doc AS (
     WHEN 20 * ({lost('#*$%&')}) >= length(text) THEN 'marked' ELSE 'prose' END AS topic,
     coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS n_tokens FROM documents
 ), cell AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM doc GROUP BY ALL),
-total AS (SELECT sum(tokens) AS t FROM cell),
+total AS (SELECT sum(tokens) * {keep} AS wanted FROM cell),
 """
+    # A value gives all it has while the level that the others then need is above it.
     for name in ("source", "lang", "topic"):
-        sql += f"""target_{name} AS (SELECT {name}, CASE WHEN t > 0 THEN pow(t, {tempering}) / sum(CASE WHEN t > 0 THEN pow(t, {tempering}) ELSE 0 END) OVER () ELSE 0 END AS share
-  FROM (SELECT {name}, sum(tokens) AS t FROM cell GROUP BY 1)),
+        sql += f"""level_{name} AS (SELECT {name}, t, share, (wanted - coalesce(sum(t) OVER up, 0)) / sum(share) OVER down AS level
+  FROM (SELECT {name}, sum(tokens) AS t, pow(sum(tokens), {tempering}) AS share FROM cell GROUP BY 1 HAVING sum(tokens) > 0), total
+  WINDOW up AS (ORDER BY t / share, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    down AS (ORDER BY t / share, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+goal_{name} AS (SELECT {name}, t, least(t, share * (SELECT max(level) FROM level_{name})) AS goal FROM level_{name}),
 """
-    sql += f"w0 AS (SELECT c.*, tokens * {keep} AS weight FROM cell c)"
+    whole = " OR ".join(f"g_{name}.goal >= g_{name}.t * (1 - 1e-12)" for name in ("source", "lang", "topic"))
+    joins = " ".join(f"JOIN goal_{n} g_{n} ON c.{n} IS NOT DISTINCT FROM g_{n}.{n}" for n in ("source", "lang", "topic"))
+    sql += f"""fixed AS MATERIALIZED (SELECT c.*, {', '.join(f'g_{n}.goal AS goal_{n}' for n in ("source", "lang", "topic"))},
+  CASE WHEN {whole} THEN tokens ELSE 0 END AS fixed FROM cell c {joins}),
+w0 AS MATERIALIZED (SELECT source, lang, topic, tokens, fixed, tokens - fixed AS room, (tokens - fixed) * {keep} AS free,
+  {', '.join(f"greatest(goal_{n} - sum(fixed) OVER (PARTITION BY {n}), 0) AS goal_{n}" for n in ("source", "lang", "topic"))} FROM fixed)"""
     step = 0
     for _ in range(rounds):
         for name in ("source", "lang", "topic"):
             step += 1
-            value = f"CASE WHEN sum(weight) OVER v > 0 THEN weight * (t * {keep} * share) / sum(weight) OVER v ELSE 0 END"
-            if name == "topic":
-                value = f"least({value}, tokens)"
             sql += f""",
-w{step} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, tokens, {value} AS weight
-  FROM w{step - 1} w JOIN target_{name} g ON w.{name} IS NOT DISTINCT FROM g.{name}, total WINDOW v AS (PARTITION BY w.{name}))"""
+w{step} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(least(free, room)) OVER v > 0 THEN free * goal_{name} / sum(least(free, room)) OVER v ELSE 0 END AS free)
+  FROM w{step - 1} WINDOW v AS (PARTITION BY {name}))"""
     return sql + f"""
 SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(p, 6) AS probability
-FROM doc d JOIN (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE 1.0 END AS p FROM w{step}) c
+FROM doc d JOIN (SELECT source, lang, topic, coalesce((fixed + least(free, room)) / tokens, 1.0) AS p FROM cell c LEFT JOIN
+  (SELECT source AS s, lang AS l, topic AS o, fixed, free, room FROM w{step}) ON source IS NOT DISTINCT FROM s AND lang IS NOT DISTINCT FROM l AND topic = o AND tokens > 0) c
 ON d.source IS NOT DISTINCT FROM c.source AND d.lang IS NOT DISTINCT FROM c.lang AND d.topic = c.topic
 WHERE ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 < p
 """
 
 
-OP1 = _op1(12, 0.7, 0.5, "mix-1")
+OP1 = _op1(40, 0.7, 0.5, "mix-1")
 
 OP2 = """
 WITH split AS (

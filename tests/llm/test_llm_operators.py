@@ -388,3 +388,34 @@ def test_raking_meets_its_marginals(spark):
     assert sum(c.weight for c in cells) == pytest.approx(all_tokens, rel=1e-3)
     assert total[("source", "a")] == pytest.approx(0.4 * all_tokens, rel=1e-3)
     assert total[("lang", "en")] == pytest.approx(all_tokens * 2 / 3, rel=1e-3) and total[("lang", None)] == 0
+
+
+def test_raking_meets_every_feasible_marginal_of_the_given_data(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = docs.select("source", "lang", mixing.topic_of(docs.text).alias("topic"), mixing.token_count(docs.text).alias("n_tokens"))
+    cells = mixing.raked(rows)
+    made = mixing.marginals(cells).collect()
+    assert max(r.residual for r in made) < 1e-3
+    # What cannot be given is shown, and the rest of its dimension makes up for it.
+    short = {r["value"] for r in made if r.target < r.asked * (1 - 1e-9)}
+    assert short and all(r.target == r.own for r in made if r["value"] in short)
+    total = 0.5 * sum(c.tokens for c in cells.collect())
+    for name in mixing.DIMENSIONS:
+        assert sum(r.target for r in made if r.dimension == name) == pytest.approx(total)
+
+
+def test_raking_reports_targets_that_contradict_each_other(spark):
+    # All of a is in en, so half of the tokens from a cannot go with a tenth in en.
+    rows = [("a", "en", "t", 50), ("b", "fr", "t", 50), ("b", "en", "t", 50)]
+    wanted = {"source": {"a": 1, "b": 1}, "lang": {"en": 1, "fr": 9}}
+    counted = spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens bigint")
+    cells = mixing.raked(counted, wanted, 0.3, rounds=8)
+    assert max(r.residual for r in mixing.marginals(cells, wanted, 0.3).collect()) > 0.1
+    assert all(0 <= c.probability <= 1 for c in cells.collect())
+
+
+def test_mixing_runs_on_its_own_output(spark):
+    rows = [(i, "s", "en", "one two three") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string")
+    again = mixing.sampled(mixing.sampled(docs))
+    assert again.columns == [*docs.columns, "mix_topic", "mix_tokens", "mix_probability"] and again.count() <= 20
