@@ -178,41 +178,66 @@ def slots(plan: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return _places(packs(plan, by)).drop("lengths")
 
 
-def assign(df: DataFrame, plan: DataFrame, order: Order, by: Sequence[str] = ()) -> DataFrame:
-    """Adds ``pack_id, slot, start, end`` to each row of ``df``.
+def place_ranges(df: DataFrame, plan: DataFrame, order: Order, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, length, bucket, __at, __range)``: from which row of a bucket on the places of
+    which strategy are filled, at most one row for each bucket and each strategy of a length.
 
     Within a length, copy c of a strategy that uses the length m times offers the
-    places c*m .. c*m+m-1 after all earlier strategies' places. Those ranges are
-    cut at the bucket bounds of the row order, which gives a table as long as
-    buckets plus strategies, and rows meet it on (by, length, bucket), where the
-    ranking has put them already. No length is one task's work, however common.
+    places c*m .. c*m+m-1 after all earlier strategies' places. Starts of buckets and of
+    strategies go into one sorted list; what holds at a start is the last of each kind.
     """
     key = [*by, "length"]
     group = W.partitionBy(*key).orderBy("strategy_id").rowsBetween(W.unboundedPreceding, -1)
     offered = (
         _places(plan)
         .groupBy(*key, "strategy_id", "n", "first_pack")
-        .agg(F.array_sort(F.collect_list(F.struct("slot", "start", "end"))).alias("__slots"))
-        .withColumn("__times", F.size("__slots"))
-        .withColumn("__places", F.col("n") * F.col("__times"))
-        .withColumn("__base", F.coalesce(F.sum("__places").over(group), F.lit(0)))
-        .withColumn("__top", F.col("__base") + F.col("__places"))
-        .drop("n", "__places", "strategy_id")
+        .agg(F.array_sort(F.collect_list(F.struct("slot", "start", "end"))).alias("slots"))
+        .withColumn("__base", F.coalesce(F.sum(F.col("n") * F.size("slots")).over(group), F.lit(0).cast("long")))
     )
-    cells = bucket_sizes(df, key, order)
-    ranges = cells.join(offered, key).filter(
-        (F.col("__base") < F.col("__before") + F.col("__here")) & (F.col("__top") > F.col("__before"))
+    strategy = F.struct("__base", "first_pack", "slots")
+    cell = F.struct(F.col(BUCKET).alias("bucket"), "__before")
+    cells = bucket_sizes(df, key, order).select(*key, F.col("__before").alias("__start"), cell.alias("__cell"))
+    starts = cells.unionByName(
+        offered.select(*key, F.col("__base").alias("__start"), strategy.alias("__strategy")), allowMissingColumns=True
     )
-    place = F.col("__before") + F.col("__nth") - 1
-    turn = place - F.col("__base")
-    seat = F.get("__slots", (turn % F.col("__times")).cast("int"))
-    return (
-        rank_in_bucket(df, key, order)
-        .join(ranges, [BUCKET, *key])
-        .filter((place >= F.col("__base")) & (place < F.col("__top")))
-        .withColumn("pack_id", F.col("first_pack") + F.call_function("div", turn, F.col("__times")))
-        .withColumn("__seat", seat)
-        .select(*df.columns, "pack_id", "__seat.slot", "__seat.start", "__seat.end")
+    sofar = W.partitionBy(*key).orderBy("__start").rangeBetween(W.unboundedPreceding, 0)
+    held = starts.select(
+        *key, "__start", F.last("__cell", True).over(sofar).alias("__cell"), F.last("__strategy", True).over(sofar).alias("__strategy"),
+        F.lead("__start").over(W.partitionBy(*key).orderBy("__start")).alias("__next"),
+    )
+    # Of starts at one place the last stands for all.
+    return held.filter(F.col("__next").isNull() | (F.col("__next") > F.col("__start"))).select(
+        *key, F.col("__cell.bucket").alias(BUCKET), (F.col("__start") - F.col("__cell.__before")).alias("__at"),
+        F.struct(
+            (F.col("__start") - F.col("__strategy.__base")).alias("turn"), F.col("__start").alias("start"), "__cell.__before",
+            "__strategy.first_pack", "__strategy.slots",
+        ).alias("__range"),
+    )
+
+
+def assign(df: DataFrame, plan: DataFrame, order: Order, by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``pack_id, slot, start, end`` to each row of ``df``.
+
+    Rows and ``place_ranges`` are merged in row order within (by, length, bucket), where
+    the ranking has put the rows already, so a row meets the one range it falls into and
+    no other. No length is one task's work, however common, and however many strategies
+    share it.
+    """
+    key = [*by, "length"]
+    ranges = place_ranges(df, plan, order, by)
+    rows = rank_in_bucket(df, key, order).select(
+        *key, BUCKET, (F.col("__nth") - 1).cast("long").alias("__at"), F.struct(*df.columns).alias("__row")
+    )
+    merged = rows.unionByName(ranges, allowMissingColumns=True)
+    # A range comes before the row that starts it.
+    sofar = W.partitionBy(BUCKET, *key).orderBy("__at", F.col("__row").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    met = merged.withColumn("__range", F.last("__range", True).over(sofar)).filter(F.col("__row").isNotNull())
+    turn = F.col("__range.turn") + F.col("__range.__before") + F.col("__at") - F.col("__range.start")
+    times = F.size("__range.slots")
+    return met.withColumn("__seat", F.get("__range.slots", (turn % times).cast("int"))).select(
+        *[F.col("__row").getField(c).alias(c) for c in df.columns],
+        (F.col("__range.first_pack") + F.call_function("div", turn, times)).alias("pack_id"),
+        "__seat.slot", "__seat.start", "__seat.end",
     )
 
 

@@ -182,3 +182,28 @@ def test_packs_join_into_batches(spark):
     made = packing.batches_of_packs(packs, 2).orderBy("batch_id").collect()
     order = [[m["row_id"] for m in r["members"]] for r in packs.orderBy("position").collect()]
     assert [[m["row_id"] for m in r["members"]] for r in made] == [sum(order[i : i + 2], []) for i in range(0, len(order), 2)]
+
+
+def test_place_ranges_are_as_many_as_buckets_and_strategies(spark):
+    # One length in many strategies, at a maximum far above the number of rows.
+    longest = 131_072
+    lengths = [longest - 2 * i - 1 for i in range(400)] + [1] * 900 + [7] * 50
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "row_id bigint, length int")
+    plan = packing.strategies(df, longest, 3)
+    order = ordering.shuffled(1, 0)
+    ranges = packing.place_ranges(df, plan, order).groupBy("length").count().collect()
+    cells = {r["length"]: r["count"] for r in ordering.bucket_sizes(df, ["length"], order).groupBy("length").count().collect()}
+    used = {r["length"]: r["count"] for r in plan.select(F.explode(F.array_distinct("lengths")).alias("length")).groupBy("length").count().collect()}
+    assert used[1] > 100
+    assert all(r["count"] <= cells[r["length"]] + used[r["length"]] for r in ranges)
+    placed = packing.assign(df, plan, order)
+    got = sorted((r["pack_id"], r["slot"], r["length"]) for r in placed.collect())
+    want = sorted((r["pack_id"], r["slot"], r["length"]) for r in packing.slots(plan).collect())
+    assert got == want
+
+
+def test_assign_meets_ranges_without_a_join(spark):
+    df = spark.createDataFrame([(i, 1 + i % 5) for i in range(100)], "row_id bigint, length int")
+    plan = packing.strategies(df, 8, 4)
+    text = packing.assign(df, plan, ordering.shuffled(1, 0))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in text
