@@ -4,6 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from chatprep.functions import headers
 from chatprep.operators import guards, ordering, packing, render
 from chatprep.plans import packed, recipes
 from chatprep.plans.prepare import prepare
@@ -51,9 +52,48 @@ def png(path, width, height):
 
 
 def test_image_sizes(spark, tmp_path):
-    png(tmp_path / "a.png", 5, 3)
+    png(tmp_path / "a b%20.png", 5, 3)
     r = collection.image_sizes(spark, str(tmp_path)).first()
-    assert (r["image_size"]["height"], r["image_size"]["width"]) == (3, 5) and r["image_ref"].endswith("a.png")
+    assert (r["image_size"]["height"], r["image_size"]["width"]) == (3, 5) and r["image_ref"].endswith("a b%20.png")
+
+
+def test_image_sizes_equal_those_of_decoded_images(spark, tmp_path):
+    jvm = spark._jvm
+    for kind, width, height in (("png", 301, 7), ("jpg", 40, 33), ("gif", 9, 700)):
+        image = jvm.java.awt.image.BufferedImage(width, height, 1)
+        assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(f"{tmp_path}/x.{kind}"))
+    size = lambda r: (r["height"], r["width"])
+    want = {r["origin"].split("/")[-1]: size(r) for r in spark.read.format("image").load(str(tmp_path)).select("image.*").collect()}
+    for whole in (False, True):
+        got = {r["image_ref"].split("/")[-1]: size(r["image_size"]) for r in collection.image_sizes(spark, str(tmp_path), whole).collect()}
+        assert got == want and len(got) == 3
+
+
+def test_broken_headers_have_no_size(spark, tmp_path):
+    png(tmp_path / "cut.png", 5, 3)
+    (tmp_path / "cut.png").write_bytes((tmp_path / "cut.png").read_bytes()[:20])
+    (tmp_path / "cut.jpg").write_bytes(b"\xff\xd8\xff\xe0\x00\x10JFIF")
+    (tmp_path / "empty.gif").write_bytes(b"")
+    (tmp_path / "loop.gif").write_bytes(b"GIF89a" + bytes(7) + b"!\xfe")
+    (tmp_path / "text.jpg").write_bytes(b"not an image")
+    for whole in (False, True):
+        got = collection.image_sizes(spark, str(tmp_path), whole).collect()
+        assert len(got) == 4 and all(r["image_size"] is None for r in got)
+
+
+def test_headers_are_read_and_not_the_rest():
+    asked = []
+
+    def fetch(start, count):
+        asked.append((start, count))
+        return whole[start : start + count]
+
+    frame = b"\xff\xc2\x00\x0b\x08" + struct.pack(">HH", 12, 34) + bytes(4)
+    # Two large sections that are stepped over, filling bytes and a restart mark.
+    section = lambda n: b"\xff\xe1" + struct.pack(">H", n) + bytes(n - 2)
+    whole = b"\xff\xd8" + section(60_000) + section(65_000) + b"\xff\xff\xff\xd0" + frame + bytes(10_000_000)
+    assert headers.image_size(headers.blocks(fetch)) == (12, 34)
+    assert sum(count for _, count in asked) <= 4 * 4096
 
 
 def test_attach_sizes(spark):
