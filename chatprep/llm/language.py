@@ -40,20 +40,29 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(hashes, text number)`` of the n-grams; what is not a letter is one blank."""
-    for codes, owner in pieces(texts, max(GRAMS)):
+    """``(hashes, text number)`` of the n-grams; what is not a letter is one blank. Pieces
+    of a long text go on with the last letters of the piece before, so that each n-gram
+    comes once wherever the text is cut."""
+    before = max(GRAMS) - 1
+    tail, tail_own, after_letter = np.zeros(0, np.uint64), np.zeros(0, np.int64), False
+    for codes, owner in pieces(texts, ended=False):
         letter = is_letter()[codes]
-        kept = np.flatnonzero(letter | np.concatenate(([False], letter[:-1])))
-        c = np.where(letter[kept], codes[kept], 32).astype(np.uint64)
-        own = owner[kept]
+        kept = np.flatnonzero(letter | np.concatenate(([after_letter], letter[:-1])))
+        c = np.concatenate((tail, np.where(letter[kept], codes[kept], 32).astype(np.uint64)))
+        own = np.concatenate((tail_own, owner[kept]))
         for n in GRAMS:
-            if len(c) < n:
+            # N-grams that end in the tail came with the piece before.
+            skip = max(len(tail) - n + 1, 0)
+            size = len(c) - skip - n + 1
+            if size <= 0:
                 continue
-            total = np.zeros(len(c) - n + 1, np.uint64)
+            total = np.zeros(size, np.uint64)
             for j in range(n):
-                total = (total << np.uint64(21)) * np.uint64(0x9E3779B1) + c[j : len(c) - n + 1 + j] * np.uint64(2 * j + 1) + total
-            whole = own[: len(total)] == own[n - 1 :]
-            yield mix(total, n)[whole], own[: len(total)][whole]
+                at = c[skip + j : skip + j + size]
+                total = (total << np.uint64(21)) * np.uint64(0x9E3779B1) + at * np.uint64(2 * j + 1) + total
+            whole = own[skip : skip + size] == own[skip + n - 1 :]
+            yield mix(total, n)[whole], own[skip : skip + size][whole]
+        tail, tail_own, after_letter = c[-before:], own[-before:], bool(letter[-1])
 
 
 def slots_of(hashes: np.ndarray) -> list[np.ndarray]:
@@ -111,7 +120,7 @@ def train(docs: DataFrame, text_column: str = "text", label: str = "lang", id_co
         for part, values in slices(batches, "text"):
             names = np.array(part.column("name").to_pylist(), object)
             for name in sorted(set(names)):
-                own = [v.decode() for v, n in zip(values, names) if n == name]
+                own = [v.decode(errors="replace") for v, n in zip(values, names) if n == name]
                 for hashes, _ in _grams(own):
                     gram, count = np.unique(hashes, return_counts=True)
                     yield pa.RecordBatch.from_arrays(
@@ -154,7 +163,7 @@ def predicted(docs: DataFrame, filters: Filters, id_column: str = "doc_id", text
 
     Whole texts are read. A text that is null or has no letter, or filters that have
     learned nothing, give ``und`` with score 0; languages that tie go by name. Repeated
-    rows and null ids are answered like others.
+    rows and null ids are answered like others. Bytes that are no UTF-8 count as no letters.
     """
     # SLOTS masks, whatever the corpus.
     shared, languages = docs.sparkSession.sparkContext.broadcast(filters.masks), filters.names
@@ -162,7 +171,7 @@ def predicted(docs: DataFrame, filters: Filters, id_column: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Filters(languages, shared.value)
         for part, values in slices(batches, "text"):
-            texts = [(v or b"").decode() for v in values]
+            texts = [(v or b"").decode(errors="replace") for v in values]
             if own.names:
                 shares = own.shares(texts)
                 best = shares.argmax(axis=1)

@@ -19,15 +19,15 @@ def is_letter() -> np.ndarray:
     return _tables["letter"]
 
 
-def pieces(texts: list[str], overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pieces(texts: list[str], ended: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(code points, text number of each)`` of the texts, in lower case and with a zero
-    after each text. A text longer than ``PIECE`` comes in several pieces, each of which
-    repeats the last ``overlap`` characters of the one before."""
+    after each text. A text longer than ``PIECE`` comes in several pieces, which lie one
+    after the other; unless ``ended``, only the last of them has the zero."""
     held, owners, size = [], [], 0
 
     def joined():
-        codes = np.frombuffer("".join(f"{t}\0" for t in held).encode("utf-32-le"), np.uint32)
-        return codes, np.repeat(owners, [len(t) + 1 for t in held])
+        codes = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return codes, np.repeat(owners, [len(t) for t in held])
 
     for number, text in enumerate(texts):
         low = text.lower()
@@ -37,11 +37,12 @@ def pieces(texts: list[str], overlap: int) -> Iterator[tuple[np.ndarray, np.ndar
             if held and size + len(part) > PIECE:
                 yield joined()
                 held, owners, size = [], [], 0
-            held.append(part)
+            last = begin + PIECE >= len(low)
+            held.append(part + "\0" if ended or last else part)
             owners.append(number)
             size += len(part)
-            if begin + PIECE >= len(low):
+            if last:
                 break
-            begin += PIECE - overlap
+            begin += PIECE
     if held:
         yield joined()

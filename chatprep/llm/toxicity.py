@@ -37,7 +37,7 @@ SENTENCE_ENDS = ".!?\n"
 def _features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Pieces of ``(feature of each word or beginning, its sentence, text of each sentence,
     end of each sentence)``; ends count characters of the lower-cased text."""
-    for codes, owner in pieces(texts, 0):
+    for codes, owner in pieces(texts):
         letter = is_letter()[codes]
         ends = np.flatnonzero(np.isin(codes, [0, *map(ord, SENTENCE_ENDS)]))
         edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).view(np.int8)))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chatprep.llm import decontamination, mixing, near_dedup, quality, secrets, token_counts, url_filter
+from chatprep.llm import decontamination, language, letters, mixing, near_dedup, quality, secrets, token_counts, url_filter
 from chatprep.llm.components import components
 from chatprep.llm.hashing import word_hashes
 from chatprep.llm.sketch import sketches
@@ -419,3 +419,32 @@ def test_mixing_runs_on_its_own_output(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string")
     again = mixing.sampled(mixing.sampled(docs))
     assert again.columns == [*docs.columns, "mix_topic", "mix_tokens", "mix_probability"] and again.count() <= 20
+
+
+def plain_grams(text, n):
+    """Every n-gram of a text, what is not a letter being one blank after a letter."""
+    text = text.lower() + "\0"
+    kept = [c if c.isalpha() else " " for i, c in enumerate(text) if c.isalpha() or (i and text[i - 1].isalpha())]
+    return Counter("".join(kept[i : i + n]) for i in range(len(kept) - n + 1))
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 5, 7, 64, 1 << 20])
+def test_language_grams_come_once_wherever_a_text_is_cut(piece, monkeypatch):
+    monkeypatch.setattr(letters, "PIECE", piece)
+    rng = random.Random(piece)
+    texts = ["".join(rng.choice("abÀé .,\n1") for _ in range(rng.randrange(0, 90))) for _ in range(12)] + ["", "x", "日本語テキスト"]
+    got = [Counter() for _ in texts]
+    for hashes, owner in language._grams(texts):
+        for h, t in zip(hashes.tolist(), owner.tolist()):
+            got[t][h] += 1
+    for text, counts in zip(texts, got):
+        want = sum((plain_grams(text, n) for n in language.GRAMS), Counter())
+        assert sorted(counts.values()) == sorted(want.values())
+
+
+def test_language_of_bytes_that_are_no_text(spark):
+    rows = [(i, f"the cat sat on the mat and the dog number {i}", "en") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    filters = language.train(docs)
+    broken = docs.withColumn("text", F.expr("CAST(concat(unhex('FFFE'), CAST(text AS binary)) AS string)"))
+    assert [r.lang_pred for r in language.predicted(broken, filters).collect()] == ["en"] * 9
