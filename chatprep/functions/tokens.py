@@ -20,11 +20,11 @@ def spaced(text: Column, tokens: ChatTokens) -> Column:
 
 
 def words(text: Column) -> Column:
-    """White-space separated words; an empty array for blank text."""
-    trimmed = F.trim(text, F.lit(_SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
-        F.split(trimmed, r"\s+")
-    )
+    """White-space separated words; an empty array for blank text. Split at single blanks,
+    which takes no regular expression, and what is empty between two of them left out."""
+    for blank in _SPACES[1:]:
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def tokenise(text: Column, tokens: ChatTokens) -> Column:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import sys
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,27 +17,72 @@ from chatprep.functions import tokens as tok
 from chatprep.operators.ordering import numbered
 from chatprep.settings import UNKNOWN
 
+# Workers get the functions themselves, not the name of a module they may not have.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The part of a vocabulary that is broadcast, some 14 MB of text at most: common tokens
 # of usual size, and very common ones that may be longer.
 COMMON_TOKENS, COMMON_BYTES = 100_000, 64
 TOP_TOKENS, TOP_BYTES = 1000, 8192
 
 
-def _spread(df: DataFrame, tokens: str, *keys: str) -> DataFrame:
-    """One row per token. The outer form keeps Spark from deriving a filter on the
-    token array, which would compute the array once more for the filter alone."""
-    return df.select(*keys, F.posexplode_outer(tokens).alias("pos", "token"))
+def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of some rows one after the other, and where each row's begin and end. Rows
+    are lists of tokens, or texts of tokens with one blank between two."""
+    if not pa.types.is_nested(column.type):
+        empty = pc.equal(column, "")
+        column = pc.split_pattern(pc.if_else(empty, pa.scalar(None, column.type), column), " ")
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten(), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
+def _found(column: pa.Array, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, bounds of the rows, the place of each token in ``words`` (-1 for none), and
+    which of the tokens are a gap: there, but not in ``words``."""
+    flat, bounds = _flat(column)
+    at = pc.fill_null(pc.index_in(flat, value_set=words.cast(flat.type)), -1).to_numpy(zero_copy_only=False)
+    gap = (at < 0) & flat.is_valid().to_numpy(zero_copy_only=False)
+    return flat, bounds, at, gap
+
+
+def _lookups(common: Broadcast):
+    """``(known, missing)`` over a column of tokens: ids by the common part of a vocabulary,
+    a gap as -1, -2 .. in the order of the row and a null token as null; and the tokens of
+    the gaps in that order."""
+
+    @F.arrow_udf("array<int>")
+    def known(column: pa.Array) -> pa.Array:
+        words, ids = common.value
+        flat, bounds, at, gap = _found(column, words)
+        before = np.concatenate(([0], np.cumsum(gap)))
+        nth = before[1:] - np.repeat(before[bounds[:-1]], np.diff(bounds))
+        coded = np.where(gap, -nth, np.append(ids, 0)[at])
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(coded, pa.int32(), mask=(at < 0) & ~gap))
+
+    @F.arrow_udf("array<string>")
+    def missing(column: pa.Array) -> pa.Array:
+        flat, bounds, _, gap = _found(column, common.value[0])
+        before = np.concatenate(([0], np.cumsum(gap)))
+        return pa.ListArray.from_arrays(pa.array(before[bounds], pa.int32()), flat.filter(pa.array(gap)).cast(pa.string()))
+
+    return known, missing
 
 
 def build_vocab(df: DataFrame, specials: Sequence[str], tokens: str = "tokens") -> DataFrame:
     """``(token, n, id)``: specials in their order, then tokens by count
-    descending and text. Counting combines before it shuffles, so a token that
-    makes up a third of the corpus costs one row per task."""
+    descending and text. Tokens are counted by batches of rows, and the counts combined
+    before they are shuffled: a token that makes up a third of the corpus costs one row per task."""
     spark = df.sparkSession
     # Unseen specials need an id too, so each is present at least with count 0.
     reserved = spark.createDataFrame([(s, 0) for s in specials], "token string, n bigint")
     place = F.array_position(F.array(*[F.lit(s) for s in specials]), F.col("token"))
-    seen = _spread(df, tokens).filter(F.col("token").isNotNull()).select("token", F.lit(1).cast("long").alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pc.value_counts(_flat(batch.column(0))[0].drop_null())
+            yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], names=["token", "n"])
+
+    seen = df.select(tokens).mapInArrow(count, "token string, n bigint")
     counts = (
         seen.unionByName(reserved)
         .groupBy("token")
@@ -50,40 +101,45 @@ def encode(
     df: DataFrame, vocab: DataFrame, key: str | Sequence[str] = "row_id", tokens: str = "tokens",
     unknown: int | None = None,
 ) -> DataFrame:
-    """Replaces ``tokens`` by ``input_ids``; an unknown token gets the reserved id, which is
+    """Replaces ``tokens``, lists or texts of tokens with a blank between, by ``input_ids``; an unknown token gets the reserved id, which is
     looked up unless ``unknown`` gives it. ``key`` must name a row: routed rows need
     ``["role", "row_id"]``.
 
     ``df`` and ``vocab`` are read twice and must be stored, with ``id`` falling with the
-    token's count. Rows are placed by ``key`` before their tokens are spread out, so the
-    ids come back together where they are. Tokens meet the commonest part of the
-    vocabulary by broadcast. The others leave gaps: only ``(key, place, token)`` of a gap
-    goes to the join on the token, and its id comes back to the row. The plan is the same
-    for any size of vocabulary.
+    token's count. Tokens meet the commonest part of the vocabulary in place, as whole Arrow
+    columns. The others leave gaps: only ``(key, gap, token)`` goes to the join on the
+    token, and of the rows only their ids, no texts, move to where the gaps come back. The
+    plan is the same for any size of vocabulary. A row whose key is null gets no ids.
     """
     key = [key] if isinstance(key, str) else list(key)
     if unknown is None:
         unknown = unknown_id(vocab)
     size = F.octet_length("token")
     often = ((F.col("id") < COMMON_TOKENS) & (size <= COMMON_BYTES)) | ((F.col("id") < TOP_TOKENS) & (size <= TOP_BYTES))
-    common = F.broadcast(vocab.filter(often).select("token", "id"))
-    rows = df.repartition(*key)
-    # A row without tokens came along with a null token and gets an empty list.
-    found = _spread(rows, tokens, *key).join(common, "token", "left")
-    ids = (
-        found.groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("__ids"))
+    common = vocab.filter(often).select("token", "id").toArrow().combine_chunks()
+    held = df.sparkSession.sparkContext.broadcast(
+        (pa.array(common.column("token").to_pylist(), pa.string()), common.column("id").to_numpy().astype(np.int32))
     )
-    gaps = _spread(df, tokens, *key).filter(F.col("token").isNotNull()).join(common, "token", "left_anti")
+    known, missing = _lookups(held)
+    rows = df.withColumn("__ids", known(F.col(tokens))).drop(tokens)
+    gaps = df.select(*key, F.posexplode(missing(F.col(tokens))).alias("__nth", "token"))
+    # A gap's number and id in one value, which sorts faster than a pair; 0 for no id.
+    packed = F.shiftleft(F.col("__nth").cast("long"), 32) + F.coalesce(F.col("id") + 1, F.lit(0))
     filled = (
-        gaps.join(vocab.filter(~often).select("token", "id"), "token")
+        gaps.join(vocab.filter(~often).select("token", "id"), "token", "left")
+        .drop("token")
+        # A row's gaps are spread over all tasks: combining them there would be in vain.
+        .repartition(*key)
         .groupBy(*key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "id"))).alias("__filled"))
+        .agg(F.sort_array(F.collect_list(packed)).alias("__filled"))
     )
-    at = lambda x: F.coalesce(x["id"], F.try_element_at("__filled", x["pos"]), F.lit(unknown))
+    late = lambda x: F.get("__filled", -x - 1).bitwiseAND((1 << 32) - 1).cast("int") - 1
+    at = lambda x: F.when(x >= 0, x).otherwise(F.nullif(late(x), F.lit(-1)))
+    coded = F.transform("__ids", lambda x: F.coalesce(at(x), F.lit(unknown)))
+    named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
     return (
-        rows.drop(tokens).join(ids, key, "left").join(filled, key, "left")
-        .withColumn("input_ids", F.transform("__ids", at))
+        rows.join(filled, key, "left")
+        .withColumn("input_ids", F.when(named, coded))
         .drop("__ids", "__filled")
     )
 
@@ -97,19 +153,28 @@ def check(
     ids: str = "input_ids",
 ) -> DataFrame:
     """Failures over the whole table, in one pass. ``ids`` may hold ids or
-    tokens, as long as the templates and marks hold the same."""
+    tokens, as long as the templates and marks hold the same, or texts of tokens with
+    a blank between."""
     row = F.col(ids)
     lits = lambda xs: [F.lit(x) for x in xs]
+    if df.schema[ids].dataType.typeName() == "string":
+        spaced = F.concat(F.lit(" "), row, F.lit(" "))
+        # No token is empty or holds a blank: a template with such a one is nowhere.
+        whole = lambda xs: all(x and " " not in x for x in xs)
+        held = lambda xs: F.when(spaced.isNotNull(), F.contains(spaced, F.lit(f" {' '.join(xs)} ")) & F.lit(whole(xs)))
+        holds, marked = held, lambda x: held([x])
+    else:
+        holds, marked = (lambda xs: tok.contains_template(row, lits(xs))), (lambda x: F.array_contains(row, F.lit(x)))
     count = lambda failing, name: F.count_if(failing).alias(name)
     aggs = [
         F.count("*").alias("n_rows"),
-        count(~tok.contains_template(row, lits(response)), "missing_response"),
+        count(~holds(response), "missing_response"),
     ]
     if instruction:
-        aggs.append(count(~tok.contains_template(row, lits(instruction)), "missing_instruction"))
+        aggs.append(count(~holds(instruction), "missing_instruction"))
     if bos is not None:
-        aggs.append(count(~F.array_contains(row, F.lit(bos)), "missing_bos"))
-    aggs.append(count(~F.array_contains(row, F.lit(eos)), "missing_eos"))
+        aggs.append(count(~marked(bos), "missing_bos"))
+    aggs.append(count(~marked(eos), "missing_eos"))
     return df.agg(*aggs)
 
 

@@ -93,3 +93,53 @@ def test_missing_template_token_is_an_error(spark):
     words = vocab.build_vocab(corpus(spark), ["<unk>"])
     with pytest.raises(ValueError, match="nowhere"):
         vocab.template_ids(words, ["a", "nowhere"])
+
+
+@pytest.mark.parametrize("common", [1_000_000, 3, 0])
+def test_texts_of_tokens_encode_as_lists_do(spark, monkeypatch, common):
+    rows = corpus(spark).unionByName(spark.createDataFrame([(5, None), (6, ["new", "b", "new"]), (None, ["a"])], "row_id bigint, tokens array<string>"))
+    joined = rows.withColumn("tokens", F.array_join("tokens", " "))
+    words = vocab.build_vocab(corpus(spark), ["<unk>", "<bos>"])
+    assert vocab.build_vocab(corpus(spark).withColumn("tokens", F.array_join("tokens", " ")), ["<unk>", "<bos>"]).collect() == words.collect()
+    monkeypatch.setattr(vocab, "COMMON_TOKENS", common)
+    monkeypatch.setattr(vocab, "TOP_TOKENS", min(common, 1))
+    made = [sorted(map(tuple, vocab.encode(t, words).collect()), key=str) for t in (rows, joined)]
+    assert made[0] == made[1] == sorted(
+        [(1, [1, 3, 2, 2, 4]), (2, [3, 2]), (3, []), (4, [4, 3, 5]), (5, []), (6, [0, 3, 0]), (None, None)], key=str
+    )
+
+
+def test_a_row_of_rare_tokens(spark, monkeypatch):
+    """Each gap is filled by its number, not by a search among all gaps of its row."""
+    monkeypatch.setattr(vocab, "COMMON_TOKENS", 0)
+    monkeypatch.setattr(vocab, "TOP_TOKENS", 0)
+    tokens = [f"t{i:06}" for i in range(300_000)]
+    rows = spark.createDataFrame([(1, tokens[::-1]), (2, ["t000007", "none"])], "row_id bigint, tokens array<string>")
+    words = vocab.build_vocab(rows.filter("row_id = 1"), ["<unk>"])
+    got = dict(map(tuple, vocab.encode(rows, words).collect()))
+    assert got[1] == list(range(300_000, 0, -1)) and got[2] == [8, 0]
+
+
+def test_no_text_moves_with_the_rows(spark):
+    words = vocab.build_vocab(corpus(spark), ["<unk>", "<bos>"])
+    plan = vocab.encode(corpus(spark), words)._jdf.queryExecution().optimizedPlan().toString()
+    joined = [line for line in plan.splitlines() if "Join" in line or "Repartition" in line]
+    assert joined and not any("tokens" in line for line in joined)
+    assert "posexplode_outer" not in plan
+
+
+def test_checks_of_texts_and_lists_agree(spark):
+    rows = [["<bos>", "###", "A:", "x", "<eos>"], ["###", "x", "A:"], ["x###", "A:"], ["###", "A:x"], ["A:", "###", "A:"], [], None]
+    df = spark.createDataFrame([(r,) for r in rows], "tokens array<string>")
+    joined = df.select(F.array_join("tokens", " ").alias("tokens"))
+    for response, instruction in ((["###", "A:"], ["x"]), (["### A:"], [""])):
+        made = [vocab.check(t, response, instruction, "<bos>", "<eos>", "tokens").first() for t in (df, joined)]
+        assert made[0] == made[1], made
+
+
+def test_words_at_any_white_space(spark):
+    texts = ["a \x0b\x0c\r\n\t b", "\r\n", "x", "\u00a0a\u2003b\u0085 c", " .*  [a] ", "\t\tq"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(tok.words(F.col("t"))).collect()]
+    assert got == [["a", "b"], [], ["x"], ["\u00a0a\u2003b\u0085", "c"], [".*", "[a]"], ["q"]]
+    assert "\\s" not in df.select(tok.words(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
