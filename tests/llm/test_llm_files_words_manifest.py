@@ -82,6 +82,24 @@ def test_words_and_whole_texts_agree():
     assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
 
 
+def test_words_that_came_back_are_remembered(monkeypatch):
+    own = Tokenizer.from_file(TOKENIZER)
+    monkeypatch.setattr(token_files, "REMEMBERED", 50)
+    made = token_files.WordIds(own)
+    texts = [f"often again, Été. {' '.join(f'w{i}x{k} Ab{chr(97 + i)}{chr(97 + k)}! é{chr(97 + k)}' for k in range(20))} often" for i in range(20)]
+    got = [made.encode([t.encode()]) for t in texts]
+    assert [g[0].tolist() for g in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert b"often" in made.numbers and b"w0x0" not in made.numbers
+
+
+def test_plain_words_of_any_case():
+    own = Tokenizer.from_file(TOKENIZER)
+    words = ["a", "I", "Hello", "WORLD", "x" * 400, "tokenisation!", "Mixed;Case", "ab.", "b.,", "é.", "Ab\u0301c", "s", "don't", "a\ufffd", "\u0130x", "\u212aelvin"]
+    text = " ".join(words)
+    made = token_files.WordIds(own)
+    assert made.plain and made.encode([text.encode()])[0].tolist() == own.encode(text, add_special_tokens=False).ids
+
+
 def test_damage_is_seen():
     ids = np.arange(1000, dtype=np.uint32)
     written = [token_files._index_frame(["1"], [1000]), *token_files._ids_frames([ids], 49408)]
