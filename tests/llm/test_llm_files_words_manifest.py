@@ -94,7 +94,7 @@ def test_words_that_came_back_are_remembered(monkeypatch):
 
 def test_plain_words_of_any_case():
     own = Tokenizer.from_file(TOKENIZER)
-    words = ["a", "I", "Hello", "WORLD", "x" * 400, "tokenisation!", "Mixed;Case", "ab.", "b.,", "é.", "Ab\u0301c", "s", "don't", "a\ufffd", "\u0130x", "\u212aelvin"]
+    words = ["a", "I", "Hello", "WORLD", "x" * 400, "tokenisation!", "Mixed;Case", "ab.", "b.,", "é.", "Ab\u0301c", "s", "don't", "a\ufffd", "\u0130x", "\u212aelvin", "ab&&&", "ab,.#", "&&&", "a<|x", "ab|>", "ab'&", "1&&", "ab&1", "x\u0085&&"]
     text = " ".join(words)
     made = token_files.WordIds(own)
     assert made.plain and made.encode([text.encode()])[0].tolist() == own.encode(text, add_special_tokens=False).ids
