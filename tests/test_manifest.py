@@ -205,3 +205,19 @@ def test_later_rows_are_encoded_with_the_pinned_vocabulary(spark, small, tmp_pat
     assert ids(made) == ids(want) and made.count() > first
     # The vocabulary meets the rows of a run once: one folder of ids for each run.
     assert len(os.listdir(f"{tmp_path}/out/encoded")) == 2
+
+
+def test_kept_stages_are_small(spark, tmp_path):
+    """Stages that stay are written with zstd, the map stage with one text of tokens a row."""
+    import pyarrow.parquet as pq
+
+    raw = spark.createDataFrame([(i, "s", "train", f"some  words {i}") for i in range(20)], "row_id bigint, source string, split string, caption string")
+    raw = raw.withColumn("image_refs", F.array("source"))
+    prepare(raw, "caption", TOKENS, splits={"train": ["train"]}, max_length=99, cache_dir=str(tmp_path), inputs=["x"])
+    files = list(tmp_path.glob("*/*.parquet"))
+    assert {f.parent.name.split("-")[0] for f in files} == {"map", "words", "filter"}
+    for f in files:
+        seen = pq.ParquetFile(f).metadata
+        assert all(seen.row_group(g).column(c).compression == "ZSTD" for g in range(seen.num_row_groups) for c in range(seen.num_columns))
+    stored = spark.read.parquet(*{str(f.parent) for f in files if f.parent.name.startswith("map-")})
+    assert dict(stored.dtypes)["tokens"] == "string" and stored.filter("tokens NOT LIKE '% some words %'").count() == 0
