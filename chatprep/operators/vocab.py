@@ -68,6 +68,31 @@ def _lookups(common: Broadcast):
     return known, missing
 
 
+def _filling(unknown: int | None):
+    """``fill`` over the ids of ``known`` and, for each row, what came back for its gaps in
+    their order; what has no id gets ``unknown``."""
+
+    @F.arrow_udf("array<int>")
+    def fill(coded: pa.Array, late: pa.Array) -> pa.Array:
+        flat, bounds = _flat(coded)
+        found, ends = _flat(late)
+        lacking = ~flat.is_valid().to_numpy(zero_copy_only=False)
+        ids = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)
+        gaps = np.flatnonzero(ids < 0)
+        row = np.searchsorted(bounds, gaps, "right") - 1
+        at = ends[row] - 1 - ids[gaps]
+        there = at < ends[row + 1]
+        back = np.zeros(len(gaps), np.int64)
+        back[there] = found.to_numpy(zero_copy_only=False)[at[there]] & (1 << 32) - 1
+        ids[gaps] = back - 1
+        lacking[gaps] = back == 0
+        if unknown is not None:
+            ids[lacking] = unknown
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32(), mask=None if unknown is not None else lacking))
+
+    return fill
+
+
 def build_vocab(df: DataFrame, specials: Sequence[str], tokens: str = "tokens") -> DataFrame:
     """``(token, n, id)``: specials in their order, then tokens by count
     descending and text. Tokens are counted by batches of rows, and the counts combined
@@ -111,7 +136,9 @@ def encode(
     token, and of the rows only their ids, no texts, move to where the gaps come back. The
     plan is the same for any size of vocabulary. A row whose key is null gets no ids.
     """
-    key = [key] if isinstance(key, str) else list(key)
+    given = [key] if isinstance(key, str) else list(key)
+    # Numbers first: sorting by a few common texts would compare whole keys over and over.
+    key = sorted(given, key=lambda k: df.schema[k].dataType.typeName() == "string")
     if unknown is None:
         unknown = unknown_id(vocab)
     size = F.octet_length("token")
@@ -133,15 +160,10 @@ def encode(
         .groupBy(*key)
         .agg(F.sort_array(F.collect_list(packed)).alias("__filled"))
     )
-    late = lambda x: F.get("__filled", -x - 1).bitwiseAND((1 << 32) - 1).cast("int") - 1
-    at = lambda x: F.when(x >= 0, x).otherwise(F.nullif(late(x), F.lit(-1)))
-    coded = F.transform("__ids", lambda x: F.coalesce(at(x), F.lit(unknown)))
     named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
-    return (
-        rows.join(filled, key, "left")
-        .withColumn("input_ids", F.when(named, coded))
-        .drop("__ids", "__filled")
-    )
+    coded = _filling(unknown)(F.col("__ids"), F.col("__filled"))
+    made = rows.join(filled, key, "left").withColumn("input_ids", F.when(named, coded)).drop("__ids", "__filled")
+    return made.select(*given, *[c for c in made.columns if c not in given])
 
 
 def check(

@@ -13,7 +13,7 @@ from chatprep.plans import recipes
 from chatprep.settings import ChatTokens
 from chatprep.sources.collection import check_identity
 from chatprep.sources.manifest import FILE, RUN, FileStage
-from chatprep.sources.stages import scratch, stage
+from chatprep.sources.stages import finished, scratch, stage
 
 #: How the map stage is stored; stages of another layout are not reused.
 LAYOUT = "joined tokens"
@@ -73,7 +73,7 @@ def prepare(
     # Spark gives every file it writes a name of its own, so other data has other files.
     data = [list(inputs), sorted(raw.inputFiles()), raw.schema.simpleString()]
     mapping = {"inputs": data, "recipe": recipe, "tokens": vars(tokens), "layout": LAYOUT}
-    mapped = _store(_mapped(raw, recipe, tokens), "map", mapping, cache_dir)
+    mapped = _store(raw.sparkSession, lambda: _mapped(raw, recipe, tokens), "map", mapping, cache_dir)
     return _routed(mapped, tokens, mapping, cache_dir, splits, max_length, limits, do, seed, response, instruction)
 
 
@@ -107,8 +107,12 @@ def prepare_files(
     return _routed(mapped, tokens, mapping, cache_dir, splits, max_length, limits, do, seed, response, instruction)
 
 
-def _store(df: DataFrame, name: str, params: dict, cache_dir: str | None) -> DataFrame:
-    return stage(df, cache_dir, name, params) if cache_dir else scratch(df, name)
+def _store(spark: SparkSession, made: Callable[[], DataFrame], name: str, params: dict, cache_dir: str | None) -> DataFrame:
+    """What ``made`` gives, stored. It is not called for a stage that is there."""
+    if not cache_dir:
+        return scratch(made(), name)
+    there = finished(spark, cache_dir, name, params)
+    return stage(made(), cache_dir, name, params) if there is None else there
 
 
 def _mapped(raw: DataFrame, recipe: str, tokens: ChatTokens) -> DataFrame:
@@ -128,12 +132,13 @@ def _routed(mapped, tokens, mapping, cache_dir, splits, max_length, limits, do,
     kept = guards.kept(mapped).drop("text", "n_placeholders", "n_images", "reason")
     if response:
         vocab.require(kept, response, instruction, tokens.bos, tokens.eos, "tokens")
-    words = _store(vocab.build_vocab(kept, tokens.specials), "words", mapping, cache_dir)
+    spark = mapped.sparkSession
+    words = _store(spark, lambda: vocab.build_vocab(kept, tokens.specials), "words", mapping, cache_dir)
     train = splits.get("train", ()) if "train" in do else ()
     taken = roles.truncate(kept, limits, seed)
     drawn = roles.length_filter(taken, max_length, train)
     wanted = {s for role in do for s in splits.get(role, ())}
-    ids = _store(vocab.encode(drawn.filter(drawn["split"].isin(*wanted)), words, key), "filter", mapping | routing, cache_dir)
+    ids = _store(spark, lambda: vocab.encode(drawn.filter(drawn["split"].isin(*wanted)), words, key), "filter", mapping | routing, cache_dir)
     routed = roles.route(ids, splits, max_length, do)
     reports = _reports(kept, taken, routed, limits, max_length, train, seed)
     return Prepared(routed, guards.rejects(mapped), words, reports)

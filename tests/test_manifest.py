@@ -141,6 +141,25 @@ def test_prepared_by_file_equals_prepared_at_once(spark, small, tmp_path):
     assert told(made.refused) == told(whole.refused) and len(told(made.refused)) > 10
 
 
+def test_a_run_without_new_files_counts_and_encodes_nothing(spark, tmp_path, monkeypatch):
+    source = f"{tmp_path}/captions"
+    raw = spark.createDataFrame([(i, "s", "train", f"some words {i}") for i in range(20)], "row_id bigint, source string, split string, caption string")
+    raw.withColumn("image_refs", F.array("source")).write.parquet(source)
+    read = lambda files: spark.read.parquet(*files).select("*", file_of_row())
+    run = lambda: prepare_files(spark, source, read, "caption", TOKENS, cache_dir=f"{tmp_path}/stages", splits={"train": ["train"]}, max_length=99)
+    first = run()
+    want = sorted(map(tuple, first.rows.select("row_id", "length", "input_ids").collect()))
+
+    def refused(*_, **__):
+        raise AssertionError("vocabulary and ids are there")
+
+    monkeypatch.setattr(vocab, "build_vocab", refused)
+    monkeypatch.setattr(vocab, "encode", refused)
+    again = run()
+    assert sorted(map(tuple, again.rows.select("row_id", "length", "input_ids").collect())) == want and len(want) == 20
+    assert again.rows.schema == first.rows.schema and again.vocabulary.schema == first.vocabulary.schema
+
+
 def test_text_is_stored_for_refused_rows_only(spark, small, tmp_path):
     rows = fixtures.captions(spark, small).withColumn("caption", F.when(F.col("row_id") < 5, TOKENS.image).otherwise(F.col("caption")))
     prepare(rows, "caption", TOKENS, splits=fixtures.SPLITS, max_length=400, cache_dir=str(tmp_path), inputs=["x"])

@@ -120,6 +120,23 @@ def test_a_row_of_rare_tokens(spark, monkeypatch):
     assert got[1] == list(range(300_000, 0, -1)) and got[2] == [8, 0]
 
 
+@pytest.mark.parametrize("common", [1_000_000, 0])
+def test_rows_known_by_texts_and_numbers(spark, monkeypatch, common):
+    """Sorted by the number first, though it is named last; columns stay where they were."""
+    monkeypatch.setattr(vocab, "COMMON_TOKENS", common)
+    monkeypatch.setattr(vocab, "TOP_TOKENS", 0)
+    data = [("s", 1, ["a", None, "x"], 7), ("s", 2, ["b"], 8), ("t", 1, ["x", "b", "a"], 9), (None, 1, ["a"], 10)]
+    rows = spark.createDataFrame(data, "source string, row_id bigint, tokens array<string>, note int")
+    words = vocab.build_vocab(rows.filter("row_id = 2 OR source = 't'"), ["<bos>"])
+    made = vocab.encode(rows.filter("source = 's' OR source IS NULL").unionByName(rows.filter("source = 't'")), words.filter("token <> 'x'"), ["source", "row_id"])
+    assert made.columns == ["source", "row_id", "note", "input_ids"]
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(
+        [("s", 1, 7, [2, None, None]), ("s", 2, 8, [1]), ("t", 1, 9, [None, 1, 2]), (None, 1, 10, None)], key=str
+    )
+    sorts = [line for line in made._jdf.queryExecution().sparkPlan().toString().splitlines() if "SortMergeJoin" in line and "row_id" in line]
+    assert sorts and all(line.index("row_id") < line.index("source") for line in sorts)
+
+
 def test_no_text_moves_with_the_rows(spark):
     words = vocab.build_vocab(corpus(spark), ["<unk>", "<bos>"])
     plan = vocab.encode(corpus(spark), words)._jdf.queryExecution().optimizedPlan().toString()
